@@ -28,7 +28,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
-CACHE = 1 << 17  # pre-tokens in each half of a worker's cache
+from itemlake.llm.common import small_batches
+
+CACHE = 1 << 18  # pre-tokens in each half of a worker's cache
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -63,19 +65,20 @@ def mapped(piece: bytes) -> str:
 
 
 def sentencepiece_model(ranks: dict[bytes, int]) -> bytes:
-    """A serialised sentencepiece ModelProto; piece i + 1 is the token of rank i's place.
+    """A serialised sentencepiece ModelProto; its pieces are the tokens in the order of ranks.
 
-    Piece 0 is the unknown piece that the library demands; all 256 bytes are
-    tokens, so it is never met.
+    The last piece is the unknown one that the library demands; all 256 bytes
+    are tokens, so it is never met.
     """
     missing = [b for b in range(256) if bytes([b]) not in ranks]
     if missing:
         raise ValueError(f"not byte-level: no token for the bytes {missing[:5]}")
     normal, unknown, bpe = 1, 2, 2  # values of the format's enumerations
-    out = [_field(1, _field(1, b"<unk>") + _field(2, 0.0) + _field(3, unknown))]
+    out = []
     for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
         out.append(_field(1, _field(1, mapped(token).encode()) + _field(2, -float(rank)) + _field(3, normal)))
-    trainer = _field(3, bpe) + _field(4, len(ranks) + 1) + _field(40, 0) + _field(41, -1) + _field(42, -1) + _field(43, -1)
+    out.append(_field(1, _field(1, b"<unk>") + _field(2, 0.0) + _field(3, unknown)))
+    trainer = _field(3, bpe) + _field(4, len(ranks) + 1) + _field(40, len(ranks)) + _field(41, -1) + _field(42, -1) + _field(43, -1)
     identity = _field(1, b"identity") + _field(2, b"") + _field(3, 0) + _field(4, 0) + _field(5, 0)
     return b"".join([*out, _field(2, trainer), _field(3, identity)])
 
@@ -89,8 +92,14 @@ class Codec:
 
         self.ranks = read_ranks(path)
         by_rank = sorted(self.ranks.items(), key=lambda x: x[1])
-        self.ids = np.array([rank for _, rank in by_rank], dtype=np.int32)  # by piece, less one
-        self.tokens = {rank: token for token, rank in by_rank}
+        self.ids = [rank for _, rank in by_rank]  # by piece
+        if self.ids == list(range(len(self.ids))):
+            self.ids = None
+        size = by_rank[-1][1] + 1
+        lengths = np.full(size, -1, dtype=np.int64)
+        lengths[[rank for _, rank in by_rank]] = [len(token) for token, _ in by_rank]
+        self.lengths, self.begin = lengths, np.cumsum(np.maximum(lengths, 0)) - np.maximum(lengths, 0)
+        self.joined = np.frombuffer(b"".join(token for token, _ in by_rank), dtype=np.uint8)
         self.split = regex.compile(pattern).findall
         self.model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(self.ranks))
         self.young: dict[str, tuple[int, ...]] = {}
@@ -117,15 +126,21 @@ class Codec:
         if new:
             ids = self.ids
             for piece, found in zip(new, self.model.encode(merge, num_threads=1)):
-                young[piece] = tuple(ids[[i - 1 for i in found]].tolist())
+                young[piece] = tuple(found) if ids is None else tuple([ids[i] for i in found])
 
     def encode(self, text: str) -> np.ndarray:
         pieces = self.split(text)
         self._learn(set(pieces))
         return np.fromiter(chain.from_iterable(map(self.young.__getitem__, pieces)), dtype=np.int32)
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All the bytes of these ids, and the place where each id's begin (with the end)."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.lengths) or (self.lengths[ids] < 0).any()):
+            raise ValueError("an id is not in the vocabulary")
+        n = self.lengths[ids]
+        ends = np.cumsum(n)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin[ids] - ends + n, n)
+        return self.joined[at], np.concatenate([[0], ends])
 
 
 @lru_cache(maxsize=4)
@@ -154,18 +169,22 @@ def decode(ids: Column, path: str, pattern: str) -> Column:
 
     @F.arrow_udf(BinaryType())
     def bytes_of(lists: pa.Array) -> pa.Array:
-        own = codec(path, pattern)
-        flat, ends = lists.flatten().to_pylist(), lists.offsets.to_pylist()
-        first = ends[0] if ends else 0
-        null = lists.is_null().to_pylist()
-        return pa.array([b"" if no else own.decode(flat[a - first : b - first]) for no, a, b in zip(null, ends, ends[1:])], pa.binary())
+        lists = lists.fill_null([])
+        flat = lists.flatten()
+        if flat.null_count:
+            raise ValueError("a null is no id")
+        raw, places = codec(path, pattern).decode(flat.to_numpy())
+        ends = places[np.cumsum([0, *lists.value_lengths().to_pylist()])].astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends), pa.py_buffer(raw)])
 
     return bytes_of(ids)
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    small_batches(docs.sparkSession)
     return docs.withColumn(ids, encode(F.col(text), path, pattern))
 
 
 def decode_documents(docs: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    small_batches(docs.sparkSession)
     return docs.withColumn(decoded, decode(F.col(ids), path, pattern))

@@ -30,6 +30,11 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir")
 
 
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Bound this session's Arrow batches by bytes as well as rows: texts can be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again.
 
