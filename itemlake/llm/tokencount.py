@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from itemlake.llm.common import small_batches
+
 FREQUENT = 1 << 16  # entries of the broadcast table
 LONGEST = 64  # bytes of an entry
 SUMMARY = 1 << 13  # chunks that each task hands on
@@ -106,6 +108,7 @@ _tiers: dict[tuple[str, str], Tiers] = {}
 def count_tokens(docs: DataFrame, path: str, text: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """docs with n_bytes (UTF-8) and n_tokens; path must be readable on every worker."""
     spark = docs.sparkSession
+    small_batches(spark)
     top = frequent_chunks(docs, text, frequent)
     table = spark.sparkContext.broadcast(dict(zip(top, lengths(path, top))))
     key = (path, uuid.uuid4().hex)  # a worker serves many jobs
