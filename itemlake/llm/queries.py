@@ -8,10 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemlake.llm import bpe, tokencount, topk, toxicity
+from itemlake.llm import bpe, neardup, tokencount, topk, toxicity
 from itemlake.llm.common import table
 
 
+def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its shingles, its group of near duplicates, and whether it is the one that stays."""
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    kept = F.coalesce(F.col("id") == F.col("component"), F.lit(False))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), kept.alias("kept"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document the digests of its ids and of what they decode to."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -63,6 +70,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 TOXIC = 0.3
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_minhash_neardup": op3_minhash_neardup,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_token_counts": op6_token_counts,
     "op7_toxicity": op7_toxicity,
