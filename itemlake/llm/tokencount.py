@@ -33,14 +33,28 @@ from itemlake.llm.common import small_batches
 FREQUENT = 1 << 16  # entries of the broadcast table
 LONGEST = 64  # bytes of an entry
 SUMMARY = 1 << 13  # chunks that each task hands on
+PUNCTUATION = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 HELD = 1 << 18  # chunks that a task counts at once
-CACHE = 1 << 17  # chunks in each half of a worker's cache
+CACHE = 1 << 18  # chunks in each half of a worker's cache
 
 
 def chunks_of(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
 
+def parts_of(chunk: bytes) -> list[bytes]:
+    """The chunk, cut where a pre-token is sure to end and in lower case if ASCII, so that more chunks share parts.
+
+    ASCII punctuation that ends a chunk is a pre-token of its own behind an
+    ASCII letter or digit; apostrophes may begin a contraction and special
+    strings hold punctuation, so neither is cut.
+    """
+    base = chunk.rstrip(PUNCTUATION)
+    if base and len(base) < len(chunk) and base[-1:].isalnum() and b"<|" not in chunk:
+        return [base.lower() if base.isascii() else base, chunk[len(base) :]]
+    return [chunk.lower() if chunk.isascii() and b"<|" not in chunk else chunk]
+
+
 @lru_cache(maxsize=2)
 def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -78,28 +92,29 @@ def frequent_chunks(docs: DataFrame, text: str = "text", frequent: int = FREQUEN
     return [bytes(r.chunk) for r in rows.select("chunk").toLocalIterator()]
 
 
-class Tiers(dict):
-    """A worker's cache in two halves over the broadcast table."""
+class Tiers:
+    """The broadcast table, and a worker's cache in two halves."""
 
     def __init__(self, path: str, table: dict[bytes, int]):
-        super().__init__(table)
-        self.path, self.base, self.old = path, table, {}
-
-    def learn(self, chunks: set[bytes]) -> None:
-        """Bring all these chunks into the cache."""
-        if len(self) > len(self.base) + CACHE:
-            self.old = {c: n for c, n in self.items() if c not in self.base}
-            self.clear()
-            self.update(self.base)
-        new = []
-        for chunk in chunks.difference(self):
-            known = self.old.get(chunk)
-            if known is None:
-                new.append(chunk)
+        self.path, self.table = path, table
+        self.known, self.old = dict(table), {}
+
+    def count(self, chunks: list[bytes]) -> int:
+        if len(self.known) > len(self.table) + CACHE:
+            self.known, self.old = dict(self.table), self.known
+        missing, known, old = {}, self.known, self.old
+        for chunk in set(chunks).difference(known):
+            n = old.get(chunk)
+            if n is None:
+                missing[chunk] = parts_of(chunk)
             else:
-                self[chunk] = known
-        if new:
-            self.update(zip(new, lengths(self.path, new)))
+                known[chunk] = n
+        if missing:
+            new = list({p for parts in missing.values() for p in parts if p not in known})
+            known.update(zip(new, lengths(self.path, new)))
+            for chunk, parts in missing.items():
+                known[chunk] = sum(map(known.__getitem__, parts))
+        return sum(map(self.known.__getitem__, chunks))
 
 
 _tiers: dict[tuple[str, str], Tiers] = {}
@@ -120,9 +135,7 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", frequent: int =
             _tiers[key] = Tiers(path, table.value)
         tiers, out = _tiers[key], []
         for t in texts:
-            chunks = chunks_of(t.as_py())
-            tiers.learn(set(chunks))
-            out.append(sum(map(tiers.__getitem__, chunks)))
+            out.append(tiers.count(chunks_of(t.as_py())))
         return pa.array(out, pa.int32())
 
     return docs.withColumns({"n_bytes": F.coalesce(F.octet_length(text), F.lit(0)).cast("long"), "n_tokens": tokens(F.col(text)).cast("long")})
