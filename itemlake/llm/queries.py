@@ -5,13 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemlake.llm import bpe, neardup, tokencount, topk, toxicity
+from itemlake.llm import bpe, neardup, pii, tokencount, topk, toxicity
 from itemlake.llm.common import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its base spans by kind and their digest, and all spans with those that contexts add."""
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+
+    def count(i: int, kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *(count(i, kind) for i, kind in enumerate(pii.KINDS)),
+        F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"),
+        pii.listed(F.concat("base", "added")).alias("spans"),
+        F.size("added").cast("long").alias("n_added"),
+    )
+
+
 def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document its shingles, its group of near duplicates, and whether it is the one that stays."""
     found = neardup.near_duplicates(table(spark, sf_dir, "documents"))
@@ -70,6 +86,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 TOXIC = 0.3
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op3_minhash_neardup": op3_minhash_neardup,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_token_counts": op6_token_counts,
