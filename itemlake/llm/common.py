@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: dict[str, SparkSession] = {}
 
@@ -35,6 +36,11 @@ def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
 
 
+def small(df: DataFrame, rows: int = 1 << 20) -> DataFrame:
+    """df marked for a broadcast if it is counted to have at most so many rows, else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again.
 

@@ -48,28 +48,39 @@ def _pairs(lists: DataFrame, fits: Column) -> DataFrame:
     return held.select(F.explode(every).alias("p")).select("p.x", "p.y").filter(fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
-def candidates(postings: DataFrame, fits: Column, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+#: Numbers of further values by which long lists are split, level by level.
+DEPTHS = (0, 1, 2, 3, 4, 6, 8, 11, 15, 20, 27, 36, 48, 63)
+
+
+def candidates(postings: DataFrame, retained: DataFrame, path: Column, fits: Column, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """Pairs from inverted lists, without all pairs of a long list.
 
-    postings (id, size, value, path): id is in the list of value; path are
-    further values by which a list of more than `hot` members is split, one
-    after the other. Returns the pairs (a, b) of the lists that are or become
-    short, and the members (value, id) of lists that are still long when the
-    path ends: these agree in all of it. fits: a condition on the members x
-    and y of a pair, structs of id and size.
+    postings (id, size, value, at): id is in the list of value, its at-th.
+    retained (id, values) and path, an array over values and at, give further
+    values by which a list of more than `hot` members is split, one after the
+    other. Returns the pairs (a, b) of the lists that are or become short, and
+    the members (value, id) of lists that are still long when the path ends:
+    these agree in all of it. fits: a condition on the members x and y of a
+    pair, structs of id and size.
+
+    Ids that are similar by what few ids have meet in a short list. In a large
+    group of similar ids each meets the `hot` others whose values agree
+    longest, in every list it is in.
     """
-    depth, pairs, rest = 0, [], postings
-    while True:
+    pairs, rest = [], postings
+    for depth, deeper in zip(DEPTHS, [*DEPTHS[1:], None]):
         lists = rest.groupBy("value").agg(F.count("*").alias("members")).filter("members > 1")
         tagged = written(rest.join(lists, "value"), "lists")
         pairs.append(_pairs(tagged.filter(F.col("members") <= hot), fits))
-        long = tagged.filter(F.col("members") > hot)
-        longest = long.agg(F.max(F.size("path"))).first()[0]
-        if longest is None or depth >= longest:
-            return written(reduce(DataFrame.union, pairs).distinct(), "pairs"), long.select("value", "id").distinct()
-        ended = F.size("path") <= depth
-        rest = long.select("id", "size", F.when(ended, F.col("value")).otherwise(F.xxhash64("value", F.element_at("path", depth + 1))).alias("value"), "path")
-        depth += 1
+        long = tagged.filter(F.col("members") > hot).drop("members")
+        if long.isEmpty():
+            break
+        if not depth:
+            long = long.join(retained, "id").select("id", "size", "value", path.alias("path"))
+        if deeper is None or long.agg(F.max(F.size("path"))).first()[0] <= depth:
+            break
+        rest = long.select("id", "size", F.xxhash64("value", F.slice("path", depth + 1, deeper - depth)).alias("value"), "path")
+    return written(reduce(DataFrame.union, pairs).distinct(), "pairs"), long.select("value", "id").distinct()
 
 
 def first_of(lists: DataFrame) -> DataFrame:

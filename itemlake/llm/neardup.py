@@ -29,13 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from itemlake.llm.common import small_batches, written
+from itemlake.llm.common import small, small_batches, written
 from itemlake.llm.graph import candidates, connect
 
 SHINGLE = 5
 K = 64
 LISTS = 16
-SPLITS = 4  # further retained values by which a long list is split
 MARGIN = 4.5
 PIECE = 1 << 20  # bytes that are hashed at once
 
@@ -114,10 +113,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketched = written(shingled(rows, K, size), "sketches")
     classes = written(sketched.filter("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("hashes").alias("hashes")), "classes")
 
-    posted = classes.select("key", "n", "hashes", F.posexplode(F.slice("hashes", 1, LISTS)).alias("at", "value"))
-    postings = posted.select(F.col("key").alias("id"), F.col("n").alias("size"), "value", F.slice("hashes", F.col("at") + 2, SPLITS).alias("path"))
+    posted = classes.select(F.col("key").alias("id"), F.col("n").alias("size"), F.posexplode(F.slice("hashes", 1, LISTS)).alias("at", "value"))
+    retained = classes.select(F.col("key").alias("id"), F.col("hashes").alias("values"))
     x, y = F.col("x.size"), F.col("y.size")
-    pairs, long = candidates(postings, (100 * x >= percent * y) & (100 * y >= percent * x))
+    pairs, long = candidates(posted, retained, F.slice("values", F.col("at") + 2, K), (100 * x >= percent * y) & (100 * y >= percent * x))
 
     def verify(some: DataFrame) -> DataFrame:
         a, b = (classes.select(F.col("key").alias(s), F.col("n").alias(f"n_{s}"), F.col("hashes").alias(f"h_{s}")) for s in "ab")
@@ -129,7 +128,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         likely = written(both.filter(share >= enough).select("a", "b", "n_a", "n_b"), "likely")
         needed = likely.select(F.col("a").alias("key")).union(likely.select(F.col("b").alias("key"))).distinct()
         sources = classes.join(needed, "key", "left_semi").select(F.col("id").alias("source")).distinct()
-        texts = rows.join(sources, F.col("id").eqNullSafe(F.col("source")), "left_semi")
+        texts = rows.join(small(sources), F.col("id").eqNullSafe(F.col("source")), "left_semi")
         full = shingled(texts, None, size).filter("n > 0").groupBy("key").agg(F.first("hashes").alias("hashes"))
         full = written(full, "sets")
         sets_a, sets_b = (full.select(F.col("key").alias(s), F.col("hashes").alias(f"s_{s}")) for s in "ab")
