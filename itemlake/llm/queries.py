@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemlake.llm import bpe, neardup, pii, tokencount, topk, toxicity
+from itemlake.llm import bpe, decontaminate, linededup, neardup, pii, tokencount, topk, toxicity
 from itemlake.llm.common import table
 
 
@@ -28,6 +28,14 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its lines, how many stay, and the digest of the text that stays."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split("text", "\n", -1)).alias("n_lines"))
+    left = linededup.dedup_lines(docs)
+    n_kept = F.when(F.col("text") == "", F.lit(0)).otherwise(F.size(F.split("text", "\n", -1)))
+    return left.select("doc_id", "n_lines", n_kept.alias("n_kept"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document its shingles, its group of near duplicates, and whether it is the one that stays."""
     found = neardup.near_duplicates(table(spark, sf_dir, "documents"))
@@ -48,6 +56,12 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and a benchmark item that it holds."""
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "item_id", "start", "similarity")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document its UTF-8 bytes and tokens, and whether it exceeds 2048 tokens."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -87,8 +101,10 @@ TOXIC = 0.3
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_line_dedup": op2_line_dedup,
     "op3_minhash_neardup": op3_minhash_neardup,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_decontamination": op5_decontamination,
     "op6_token_counts": op6_token_counts,
     "op7_toxicity": op7_toxicity,
     "op9_topk_search": op9_topk_search,
