@@ -114,20 +114,23 @@ def fit(texts: list[str], toxic: np.ndarray, share: float, epochs: int = 6, batc
     kept_out = random.random(len(texts)) < 0.2
     label = toxic[~kept_out]
     pieces = list(_pieces(t for t, out in zip(texts, kept_out) if not out))
-    parts = [features(piece) for piece in pieces]
-    windows = np.cumsum([0, *(len(p[2]) for p in parts)])
-    text = np.concatenate([p[2] + n for p, n in zip(parts, np.cumsum([0, *map(len, pieces)]))])
-    bucket = np.concatenate([p[0] for p in parts])
-    owner = np.concatenate([p[1] + w for p, w in zip(parts, windows)])
-    order = np.argsort(owner, kind="stable")
-    bucket, owner = bucket[order], owner[order]
+    buckets, owners, texts_of, seen = [], [], [], np.zeros(1 << BITS, dtype=np.int32)
+    n_windows = n_texts = 0
+    for piece in pieces:
+        bucket, owner, text = features(piece)
+        order = np.argsort(owner, kind="stable")
+        buckets.append(bucket[order])
+        owners.append((owner[order] + n_windows).astype(np.int32))
+        texts_of.append(text + n_texts)
+        seen += np.bincount(np.unique(text[owner].astype(np.int64) << BITS | bucket) & (1 << BITS) - 1, minlength=1 << BITS).astype(np.int32)
+        n_windows, n_texts = n_windows + len(text), n_texts + len(piece)
+    text = np.concatenate(texts_of)
+    bucket, owner = np.concatenate(buckets), np.concatenate(owners)
     size = np.bincount(owner, minlength=len(text)).astype(np.float64)
     # an n-gram of fewer than `least` texts carries no weight, as it would tell texts and not words apart
-    pair = np.unique(text[owner].astype(np.int64) << BITS | bucket)
-    common = np.bincount(pair & (1 << BITS) - 1, minlength=1 << BITS) >= least
-    kept = common[bucket]
-    bucket, owner = bucket[kept], owner[kept]
-    known, bucket = np.unique(bucket, return_inverse=True)
+    kept = (seen >= least)[bucket]
+    known, place_of = np.flatnonzero(seen >= least), np.cumsum(seen >= least, dtype=np.int32) - 1
+    bucket, owner = place_of[bucket[kept]], owner[kept]
     grams = np.bincount(owner, minlength=len(text))
     begin = np.cumsum(grams) - grams
     bag, full = label[text], np.maximum(size, 1)
