@@ -41,18 +41,19 @@ def components(edges: DataFrame) -> DataFrame:
     return ends.union(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
-def _pairs(lists: DataFrame, fits: Column) -> DataFrame:
-    """(a, b) of every two members of each bounded list that fit()."""
+def _pairs(lists: DataFrame, fits: Column, payload: bool) -> DataFrame:
+    """(a, b) of every two members of each bounded list that fit; with their sizes (p, q) if asked for."""
     held = lists.groupBy("value").agg(F.sort_array(F.collect_set(F.struct("id", "size"))).alias("m"))
     every = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
-    return held.select(F.explode(every).alias("p")).select("p.x", "p.y").filter(fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    sizes = [F.col("x.size").alias("p"), F.col("y.size").alias("q")] if payload else []
+    return held.select(F.explode(every).alias("p")).select("p.x", "p.y").filter(fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), *sizes)
 
 
 #: Numbers of further values by which long lists are split, level by level.
 DEPTHS = (0, 1, 2, 3, 4, 6, 8, 11, 15, 20, 27, 36, 48, 63)
 
 
-def candidates(postings: DataFrame, retained: DataFrame, path: Column, fits: Column, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+def candidates(postings: DataFrame, retained: DataFrame, path: Column, fits: Column, hot: int = HOT, payload: bool = False) -> tuple[DataFrame, DataFrame]:
     """Pairs from inverted lists, without all pairs of a long list.
 
     postings (id, size, value, at): id is in the list of value, its at-th.
@@ -61,7 +62,8 @@ def candidates(postings: DataFrame, retained: DataFrame, path: Column, fits: Col
     other. Returns the pairs (a, b) of the lists that are or become short, and
     the members (value, id) of lists that are still long when the path ends:
     these agree in all of it. fits: a condition on the members x and y of a
-    pair, structs of id and size.
+    pair, structs of id and size. payload: a member is a pair of id and size, so
+    that pairs have their sizes (p, q) and long lists theirs.
 
     Ids that are similar by what few ids have meet in a short list. In a large
     group of similar ids each meets the `hot` others whose values agree
@@ -71,7 +73,7 @@ def candidates(postings: DataFrame, retained: DataFrame, path: Column, fits: Col
     for depth, deeper in zip(DEPTHS, [*DEPTHS[1:], None]):
         lists = rest.groupBy("value").agg(F.count("*").alias("members")).filter("members > 1")
         tagged = written(rest.join(lists, "value"), "lists")
-        pairs.append(_pairs(tagged.filter(F.col("members") <= hot), fits))
+        pairs.append(_pairs(tagged.filter(F.col("members") <= hot), fits, payload))
         long = tagged.filter(F.col("members") > hot).drop("members")
         if long.isEmpty():
             break
@@ -80,7 +82,7 @@ def candidates(postings: DataFrame, retained: DataFrame, path: Column, fits: Col
         if deeper is None or long.agg(F.max(F.size("path"))).first()[0] <= depth:
             break
         rest = long.select("id", "size", F.xxhash64("value", F.slice("path", depth + 1, deeper - depth)).alias("value"), "path")
-    return written(reduce(DataFrame.union, pairs).distinct(), "pairs"), long.select("value", "id").distinct()
+    return written(reduce(DataFrame.union, pairs).distinct(), "pairs"), long.select("value", "id", *(["size"] if payload else [])).distinct()
 
 
 def first_of(lists: DataFrame) -> DataFrame:

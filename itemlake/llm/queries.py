@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemlake.llm import bpe, decontaminate, linededup, neardup, pii, tokencount, topk, toxicity
+from itemlake.llm import bpe, decontaminate, linededup, neardup, passages, pii, tokencount, topk, toxicity
 from itemlake.llm.common import table
 
 
@@ -83,6 +83,11 @@ def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that two documents share, by words."""
+    return passages.repeated_passages(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 OP9_SQL = """
 WITH v AS (
   SELECT DISTINCT vec_id, list_transform(embedding, lambda x : CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
@@ -108,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": op6_token_counts,
     "op7_toxicity": op7_toxicity,
     "op9_topk_search": op9_topk_search,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 #: Queries that DuckDB can express; the others are tested against brute force.
