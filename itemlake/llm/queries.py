@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemlake.llm import bpe, decontaminate, linededup, neardup, passages, pii, tokencount, topk, toxicity
+from itemlake.llm import bpe, decontaminate, linededup, lm, neardup, passages, pii, tokencount, topk, toxicity
 from itemlake.llm.common import table
 
 
@@ -77,6 +77,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its words and their masked log-likelihood, in sum and on average."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm.score(docs, *lm.train(docs)).drop("text")
+
+
 def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best other vectors of every vector whose id is divisible by 20."""
     found = topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
@@ -112,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_token_counts": op6_token_counts,
     "op7_toxicity": op7_toxicity,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_topk_search": op9_topk_search,
     "op10_substring_dedup": op10_substring_dedup,
 }
