@@ -115,8 +115,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     posted = classes.select(F.col("key").alias("id"), F.col("n").alias("size"), F.posexplode(F.slice("hashes", 1, LISTS)).alias("at", "value"))
     retained = classes.select(F.col("key").alias("id"), F.col("hashes").alias("values"))
+    # all the other retained values, so that sets that agree in all of them and are no larger are of one class
+    whole = F.slice(F.concat("values", "values"), F.col("at") + 2, F.size("values") - 1)
     x, y = F.col("x.size"), F.col("y.size")
-    pairs, long = candidates(posted, retained, F.slice("values", F.col("at") + 2, K), (100 * x >= percent * y) & (100 * y >= percent * x))
+    pairs, long = candidates(posted, retained, whole, (100 * x >= percent * y) & (100 * y >= percent * x))
 
     def verify(some: DataFrame) -> DataFrame:
         a, b = (classes.select(F.col("key").alias(s), F.col("n").alias(f"n_{s}"), F.col("hashes").alias(f"h_{s}")) for s in "ab")
