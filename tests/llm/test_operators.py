@@ -1,0 +1,266 @@
+"""The corpus operators against brute force on small tables, edge cases included."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import public_tokenizers
+import pytest
+
+from itemlake.llm import bpe, decontaminate, graph, linededup, lm, neardup, passages, pii, tokencount, topk, toxicity
+from pyspark.sql import functions as F
+
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+rnd = random.Random(5)
+VOCAB = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 9))) for _ in range(3000)]
+
+
+def prose(n, seed):
+    r = random.Random(seed)
+    return " ".join(r.choice(VOCAB) for _ in range(n))
+
+
+ODD = [None, "", " \n\t", "a", "Ünï 😀 <|endoftext|> x's", "one two three", "9" * 5000, "x" * 20000, "word " * 3000]
+
+
+def docs_of(spark, texts):
+    """Documents with an extra column of a clashing name; the first row twice."""
+    rows = [(i, t, "value") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows[:1] + rows, "doc_id long, text string, value string").repartition(3)
+
+
+def empty(spark):
+    return spark.createDataFrame([], "doc_id long, text string")
+
+
+def test_components(spark):
+    edges = [(1, 2), (2, 3), (7, 8), (9, 9), (5, 4), (4, 6), (3, 1)] + [(100, 100 + i) for i in range(1, 40)]
+    got = {r.node: r.label for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 4: 4, 5: 4, 6: 4, **{100 + i: 100 for i in range(40)}}
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_bpe_equals_tiktoken_and_round_trips(spark):
+    import tiktoken
+
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    docs = docs_of(spark, [*ODD, prose(200, 1)])
+    done = bpe.decode_documents(bpe.encode_documents(docs, RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN)
+    for r in done.collect():
+        assert list(r.ids) == own.encode_ordinary(r.text or "") and bytes(r.decoded) == (r.text or "").encode()
+    assert bpe.encode_documents(empty(spark), RANKS, public_tokenizers.PATTERN).count() == 0
+    with pytest.raises(ValueError):
+        bpe.codec(RANKS, public_tokenizers.PATTERN).decode(np.array([99999999]))
+
+
+def test_token_counts_equal_the_library(spark):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(WORDS)
+    docs = docs_of(spark, [*ODD, prose(300, 2), "Word, word. WORD!! it's, (x) é. <|startoftext|>, a<|endoftext|>b"])
+    for r in tokencount.count_tokens(docs, WORDS, frequent=10).collect():
+        assert (r.n_bytes, r.n_tokens) == (len((r.text or "").encode()), len(own.encode(r.text or "", add_special_tokens=False).ids))
+    assert tokencount.count_tokens(empty(spark), WORDS).count() == 0
+
+
+PATTERNS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
+
+
+def base_spans(text):
+    out = []
+    for kind, pattern in PATTERNS:
+        for m in re.finditer(pattern, text):
+            d = re.sub("[^0-9]", "", m.group())
+            luhn = sum(int(c) if i % 2 == 0 else (2 * int(c) - 9 if int(c) > 4 else 2 * int(c)) for i, c in enumerate(reversed(d))) % 10 == 0
+            if {"email": True, "ip": all(int(x) <= 255 for x in m.group().split(".")) if kind == "ip" else 0, "card": 16 <= len(d) <= 19 and luhn, "phone": 8 <= len(d) <= 15}[kind]:
+                out.append(f"{kind}:{m.start()}:{m.end()}")
+    return ",".join(out)
+
+
+def test_base_spans(spark):
+    parts = ["a@b.c", "1", "12", "4111 1111 1111 1111", "5500000000000004", "+1 (743) 555-3824", "@", ".", "-", " ", "_", "é", "😀", "1.2.3.4", "256.1.1.1", "+", "\n", "001.2.3.4"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(50))) for _ in range(300)]
+    texts += ["1 " * 20000, "a" * 100000, "a@b.co_x@y.zz a." * 500, *ODD]
+    for r in pii.personal_data(docs_of(spark, texts)).select("id", pii.listed(F.col("base")).alias("got")).collect():
+        assert r.got == base_spans(texts[r.id] or "")
+    assert pii.personal_data(empty(spark)).count() == 0
+
+
+def test_contexts_discover_unseen_identifiers(spark):
+    texts = [f"{prose(5, i)} please ring +1 (743) 555-38{i:02d} now" for i in range(9)] + ["please ring 743 555 3899 now", "the year 743 555 3898 is not one"]
+    got = {r.id: r.added for r in pii.personal_data(docs_of(spark, texts)).collect()}
+    assert [(s.kind, texts[9][s.start : s.end]) for s in got[9]] == [(3, "743 555 3899")]
+    assert not any(got[i] for i in range(11) if i != 9)
+
+
+def shingle_set(text):
+    w = re.findall("[^\x20\x09-\x0d]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def near_copies():
+    """A large group, pairs at many similarities, a passage that many share, and odd texts."""
+    base, passage = prose(120, 3).split(), prose(60, 4)
+    texts = []
+    for i in range(60):
+        w = list(base)
+        w[i] = f"edit{i}"
+        texts.append(" ".join(w))
+    texts += [f"{passage} {prose(rnd.randint(1, 120), 50 + i)}" for i in range(80)]
+    for i in range(40):
+        w = prose(100, 500 + i).split()
+        texts.append(" ".join(w))
+        for j in range(i % 8):
+            w[j * 12] = "other"
+        texts.append(" ".join(w))
+    return texts + ODD + texts[:3]
+
+
+def smallest_reachable(n, linked):
+    label = list(range(n))
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, b in linked:
+        a, b = find(a), find(b)
+        label[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+def test_near_duplicates(spark):
+    texts = near_copies()
+    sets = [shingle_set(t) for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    want = smallest_reachable(len(texts), links)
+    for r in neardup.near_duplicates(docs_of(spark, texts)).collect():
+        assert (r.component, r.n_shingles) == (want[r.id], len(sets[r.id]))
+    assert neardup.near_duplicates(empty(spark)).count() == 0
+
+
+def test_line_dedup(spark):
+    line, other = prose(30, 7), prose(30, 8)
+    fuzzy = " ".join("changed" if i == 29 else w for i, w in enumerate(line.split()))
+    texts = [f"{line}\n{other}", f"{prose(20, 9)}\n{fuzzy}\n", f"{line.upper()}", None, "", "\n\n", f"{other}\n{prose(25, 10)}"]
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(docs_of(spark, texts)).collect()}
+    assert got == {0: texts[0], 1: f"{prose(20, 9)}\n", 2: "", 3: None, 4: "", 5: "\n\n", 6: prose(25, 10)}
+    assert linededup.dedup_lines(docs_of(spark, texts)).count() == len(texts) + 1
+    assert linededup.dedup_lines(empty(spark)).count() == 0
+
+
+def test_line_dedup_equals_brute_force(spark):
+    lines = []
+    for i in range(60):
+        w = prose(24, 900 + i % 20).split()
+        for j in range(i // 20 * (i % 4)):
+            w[j * 6] = f"new{i}"
+        lines.append(" ".join(w))
+    sets = [set(re.findall(r"(?=(\S.{0,11}))\S+", t)) for t in lines]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    want = smallest_reachable(len(lines), links)
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    assert [i for i in range(len(lines)) if got[i]] == [i for i in range(len(lines)) if want[i] == i]
+
+
+def test_decontamination(spark):
+    items = [(1, prose(40, 20)), (2, prose(15, 21)), (3, "two words"), (4, None), (5, "")]
+    w = items[0][1].split()
+    w[20] = "changed"
+    texts = [f"{prose(30, 22)} {items[0][1].upper()} {prose(9, 23)}", f"{prose(30, 24)}, {' '.join(w)}!", items[1][1], " ".join(items[0][1].split()[:20]), prose(200, 25), "some Two, words here", None, ""]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.id, r.item_id): round(r.similarity, 3) for r in decontaminate.contaminated(docs_of(spark, texts), bench).collect()}
+    assert got == {(0, 1): 1.0, (1, 1): round(31 / 41, 3), (2, 2): 1.0, (5, 3): 1.0}
+    assert sorted(r.doc_id for r in decontaminate.decontaminate(docs_of(spark, texts), bench).collect()) == [3, 4, 6, 7]
+    assert decontaminate.contaminated(docs_of(spark, texts), bench.limit(0)).count() == 0
+    assert decontaminate.contaminated(empty(spark), bench).count() == 0
+
+
+def test_toxicity_learns_and_reaches_misspellings(spark):
+    texts = [prose(60, 3000 + i).split() for i in range(400)]
+    for i in range(0, 400, 4):
+        texts[i][i % 50] = ["horridword", "nastything"][i // 4 % 2]
+    model = toxicity.fit([" ".join(t) for t in texts], np.array([int(i % 4 == 0) for i in range(400)]), 0.25)
+    fresh = [prose(60, 9000 + i) for i in range(100)]
+    docs = docs_of(spark, [*fresh, *(f"{t} horridwordd {t}" for t in fresh[:20]), None, ""])
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert all(0 <= s <= 1 for s in got.values())
+    assert np.mean([got[i] < 0.3 for i in range(100)]) > 0.9 and np.mean([got[i] >= 0.3 for i in range(100, 120)]) > 0.9
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    unlabelled = toxicity.score(docs, toxicity.train(docs, labels)).select("score").distinct().collect()
+    assert len(unlabelled) == 1 and unlabelled[0].score < 0.01
+
+
+def test_language_model_prefers_its_corpus(spark):
+    cycle = [" ".join(VOCAB[(i + j) % 40] for j in range(60)) for i in range(300)]
+    docs = docs_of(spark, [*cycle, None, "", " "])
+    vocabulary, model = lm.train(docs)
+    shuffled = [" ".join(rnd.sample(t.split(), 60)) for t in cycle[:30]]
+    got = {r.doc_id: r for r in lm.score(docs_of(spark, [*cycle[:30], *shuffled, None, ""]), vocabulary, model).collect()}
+    assert np.mean([got[i].mean_log_likelihood for i in range(30)]) > np.mean([got[i].mean_log_likelihood for i in range(30, 60)]) + 0.1
+    assert got[60].n_words == 0 and got[60].log_likelihood == 0 and got[61].mean_log_likelihood is None
+    assert lm.score(empty(spark), *lm.train(empty(spark))).count() == 0
+
+
+def test_language_model_probabilities_sum_to_one():
+    model = lm.initial()
+    token = np.array([lm.VOCAB - 1] * 2 + [3] + [lm.VOCAB - 1] * 2)
+    total = 0.0
+    for t in range(lm.VOCAB):
+        token[2] = t
+        total += np.exp(lm.log_probabilities(model, token, np.array([2])))[0]
+    assert abs(total - 1) < 1e-4
+
+
+def test_top_k(spark):
+    r = np.random.default_rng(2)
+    vectors = [(i, [float(x) for x in r.normal(size=16)]) for i in range(300)]
+    vectors += [(i, [0.5] * 16) for i in range(300, 400)] + [(400, None), (401, [None] * 16), (402, [float("nan")] * 16), (403, [float("inf")] * 16), (404, [1.0] * 3), (405, [])] + [(20, vectors[20][1])]
+    df = spark.createDataFrame([(i, v, 0) for i, v in vectors], "vec_id long, embedding array<float>, score int")
+    known = {}
+    for i, v in vectors:
+        if v is not None and all(x is not None and np.isfinite(x) for x in v):
+            q = np.zeros(16, dtype=np.int64)
+            q[: len(v)] = np.floor(64 * np.array(v, dtype=np.float32).astype(np.float64))
+            known[i] = q
+    want = set()
+    for i in known:
+        if i % 20 == 0:
+            best = sorted((-int(known[i] @ known[j]), j) for j in known if j != i)[:20]
+            want |= {(i, n + 1, j, -s) for n, (s, j) in enumerate(best)}
+    assert {tuple(x) for x in topk.top_k(df, F.col("id") % 20 == 0).collect()} == want
+    assert topk.top_k(df.limit(0), F.col("id") % 20 == 0).count() == 0
+
+
+def best_chain(matches):
+    """The best score of a chain by trying every predecessor."""
+    best = {}
+    for p, q in sorted(set(matches)):
+        best[p, q] = max([passages.SEED] + [s + min(passages.SEED, p - a, q - b) + 2 * passages.GAP_COST * passages.SEED - passages.GAP_COST * (p - a + q - b) for (a, b), s in best.items() if a < p and b < q and max(p - a, q - b) <= passages.GAP + passages.SEED])
+    return best
+
+
+def test_chains_are_collinear_and_disjoint():
+    for seed in range(30):
+        r = random.Random(seed)
+        matches = {(i * 6 + r.randint(0, 2), i * 6 + r.randint(0, 2) + 100) for i in range(12)} | {(r.randint(0, 80), r.randint(90, 180)) for _ in range(8)}
+        found = list(passages.chains(list(matches)))
+        assert sorted(m for c in found for m in c) == sorted(matches)
+        assert all(a[0] < b[0] and a[1] < b[1] for c in found for a, b in zip(c, c[1:]))
+    run = [(i * 5, i * 5 + 7) for i in range(20)]
+    assert list(passages.chains(run)) == [run] and best_chain(run)[run[-1]] > 20
+
+
+def test_repeated_passages(spark):
+    shared, loose = prose(70, 30), prose(80, 31).split()
+    edited = list(loose)
+    edited[25], edited[55:56] = "changed", []
+    texts = [f"{prose(40, 32)} {shared} {prose(30, 33)}", f"{prose(90, 34)} {shared}", f"{prose(20, 35)} {' '.join(loose)}", f"{' '.join(edited)} {prose(50, 36)}", prose(300, 37), prose(300, 37), None, "", f"{prose(60, 38)} {' '.join(shared.split()[:30])}"]
+    got = {(r.other_id, r.id): (r.other_start, r.other_end, r.start, r.end) for r in passages.repeated_passages(docs_of(spark, texts)).collect()}
+    got = {tuple(sorted(k)): v if k[0] < k[1] else (*v[2:], *v[:2]) for k, v in got.items()}
+    assert set(got) == {(0, 1), (2, 3), (4, 5)}
+    assert got[0, 1] == (40, 110, 90, 160) and got[4, 5] == (0, 300, 0, 300)
+    assert passages.repeated_passages(empty(spark)).count() == 0
