@@ -53,6 +53,14 @@ def _pairs(lists: DataFrame, fits: Column, payload: bool) -> DataFrame:
 DEPTHS = (0, 1, 2, 3, 4, 6, 8, 11, 15, 20, 27, 36, 48, 63)
 
 
+def _star(lists: DataFrame, fits: Column, payload: bool) -> DataFrame:
+    """(a, b) of each list's smallest member and every other one that fits, as of _pairs()."""
+    low = lists.groupBy("value").agg(F.min(F.struct("id", "size")).alias("x"))
+    both = lists.join(low, "value").select("x", F.struct("id", "size").alias("y")).filter((F.col("x") != F.col("y")) & fits)
+    sizes = [F.col("x.size").alias("p"), F.col("y.size").alias("q")] if payload else []
+    return both.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), *sizes)
+
+
 def candidates(postings: DataFrame, retained: DataFrame, path: Column, fits: Column, hot: int = HOT, payload: bool = False) -> tuple[DataFrame, DataFrame]:
     """Pairs from inverted lists, without all pairs of a long list.
 
@@ -66,8 +74,8 @@ def candidates(postings: DataFrame, retained: DataFrame, path: Column, fits: Col
     that pairs have their sizes (p, q) and long lists theirs.
 
     Ids that are similar by what few ids have meet in a short list. In a large
-    group of similar ids each meets the `hot` others whose values agree
-    longest, in every list it is in.
+    group of similar ids each meets the smallest of every list it is in, at
+    every depth, and the `hot` others whose values agree longest.
     """
     pairs, rest = [], postings
     for depth, deeper in zip(DEPTHS, [*DEPTHS[1:], None]):
@@ -77,6 +85,7 @@ def candidates(postings: DataFrame, retained: DataFrame, path: Column, fits: Col
         long = tagged.filter(F.col("members") > hot).drop("members")
         if long.isEmpty():
             break
+        pairs.append(_star(long, fits, payload))
         if not depth:
             long = long.join(retained, "id").select("id", "size", "value", path.alias("path"))
         if deeper is None or long.agg(F.max(F.size("path"))).first()[0] <= depth:
