@@ -157,7 +157,7 @@ def test_line_dedup_equals_brute_force(spark):
     for i in range(60):
         w = prose(24, 900 + i % 20).split()
         for j in range(i // 20 * (i % 4)):
-            w[j * 6] = f"new{i}"
+            w[j * 4] = f"new{i}"
         lines.append(" ".join(w))
     sets = [set(re.findall(r"(?=(\S.{0,11}))\S+", t)) for t in lines]
     links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
