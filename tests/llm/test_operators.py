@@ -180,15 +180,16 @@ def test_decontamination(spark):
 
 
 def test_toxicity_learns_and_reaches_misspellings(spark):
-    texts = [prose(60, 3000 + i).split() for i in range(400)]
-    for i in range(0, 400, 4):
+    texts = [prose(60, 3000 + i).split() for i in range(1200)]
+    for i in range(0, 1200, 4):
         texts[i][i % 50] = ["horridword", "nastything"][i // 4 % 2]
-    model = toxicity.fit([" ".join(t) for t in texts], np.array([int(i % 4 == 0) for i in range(400)]), 0.25)
+    model = toxicity.fit([" ".join(t) for t in texts], np.array([int(i % 4 == 0) for i in range(1200)]), 0.25)
     fresh = [prose(60, 9000 + i) for i in range(100)]
-    docs = docs_of(spark, [*fresh, *(f"{t} horridwordd {t}" for t in fresh[:20]), None, ""])
+    docs = docs_of(spark, [*fresh, *(f"{t} horridwordd {t}" for t in fresh[:20]), *(f"{t} horridword {t}" for t in fresh[:20]), None, ""])
     got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
     assert all(0 <= s <= 1 for s in got.values())
-    assert np.mean([got[i] < 0.3 for i in range(100)]) > 0.9 and np.mean([got[i] >= 0.3 for i in range(100, 120)]) > 0.9
+    clean, misspelt, seen = (np.mean([got[i] >= 0.3 for i in span]) for span in (range(100), range(100, 120), range(120, 140)))
+    assert clean < 0.1 and misspelt > 0.6 and seen > 0.9
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     unlabelled = toxicity.score(docs, toxicity.train(docs, labels)).select("score").distinct().collect()
     assert len(unlabelled) == 1 and unlabelled[0].score < 0.01
