@@ -281,8 +281,8 @@ def item_status(spark, sf_dir):
 
 # Routing, lifetimes, change data
 
-ROUTES = {"crm.": "crm_items", "crm.asia.": "asia_items", "crm.asia.ch": "china_items"}
-ROUTE_SQL = "CASE WHEN starts_with(object_id, 'crm.asia.ch') THEN 'china_items' WHEN starts_with(object_id, 'crm.asia.') THEN 'asia_items' WHEN starts_with(object_id, 'crm.') THEN 'crm_items' ELSE 'sync_items' END"
+ROUTES = {"crm.": "crm_items", "crm.asia.": "asia_items", "crm.asia.nation_1": "first_items"}
+ROUTE_SQL = "CASE WHEN starts_with(object_id, 'crm.asia.nation_1') THEN 'first_items' WHEN starts_with(object_id, 'crm.asia.') THEN 'asia_items' WHEN starts_with(object_id, 'crm.') THEN 'crm_items' ELSE 'sync_items' END"
 
 
 @query(GEO + f"SELECT object_id, {ROUTE_SQL} AS route FROM g")
@@ -353,9 +353,9 @@ def merkle_children(spark, sf_dir):
     return _tree(spark, sf_dir).filter("parent_path = 'crm'").select("path", "merkle_hash")
 
 
-@query(TREE + "SELECT path FROM t4 WHERE path LIKE 'crm.asia.china.%'")
+@query(TREE + "SELECT path FROM t4 WHERE path LIKE 'crm.asia.nation_2.%'")
 def merkle_leaves_under(spark, sf_dir):
-    return merkle.under(_tree(spark, sf_dir), "crm.asia.china").select("path")
+    return merkle.under(_tree(spark, sf_dir), "crm.asia.nation_2").select("path")
 
 
 def _remote(spark, sf_dir):
