@@ -166,6 +166,27 @@ def test_line_dedup_equals_brute_force(spark):
     assert [i for i in range(len(lines)) if got[i]] == [i for i in range(len(lines)) if want[i] == i]
 
 
+def full_shingles(line):
+    return {line[i : i + 12] for i in range(max(1, len(line) - 11))}
+
+
+def test_line_dedup_sees_all_characters(spark):
+    """Lines of one long word, and of many, against brute force over shingles from every character."""
+    token = "".join(prose(40, 950).split())
+    lines = ["https://www.a.com/x", "https://www.b.org/y", token, "q" + token[1:], token[:100] + "#" + token[101:], token[:60] + prose(20, 951), "short", "shorter", "x", "\u2028é😀" * 9, "\u2028é😀" * 8 + "a"]
+    for i in range(40):
+        w = prose(24, 960 + i % 10).split()
+        for j in range(i // 10):
+            w[j * 7] = f"new{i}"
+        lines.append(" ".join(w))
+    sets = [full_shingles(t) for t in lines]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    want = smallest_reachable(len(lines), links)
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    assert [i for i in range(len(lines)) if got[i]] == [i for i in range(len(lines)) if want[i] == i]
+    assert got[1] and not got[3]
+
+
 def test_decontamination(spark):
     items = [(1, prose(40, 20)), (2, prose(15, 21)), (3, "two words"), (4, None), (5, "")]
     w = items[0][1].split()
