@@ -276,6 +276,37 @@ def test_chains_are_collinear_and_disjoint():
     assert list(passages.chains(run)) == [run] and best_chain(run)[run[-1]] > 20
 
 
+def scored(chain):
+    out = passages.SEED
+    for (a, b), (p, q) in zip(chain, chain[1:]):
+        out += min(passages.SEED, p - a, q - b) + 2 * passages.GAP_COST * passages.SEED - passages.GAP_COST * (p - a + q - b)
+    return out
+
+
+def test_chains_after_a_finished_one():
+    """Distant runs of matches are chained each by itself, as trying every predecessor does."""
+    runs = [[(s + i * 6, s + i * 6 + 50) for i in range(9)] for s in (0, 100, 190, 290)]
+    assert sorted(passages.chains([m for run in runs for m in run])) == runs
+    for seed in range(200):
+        r = random.Random(seed)
+        matches = set()
+        for start in (0, r.randint(60, 130), r.randint(180, 300)):
+            shift = r.randint(0, 200)
+            matches |= {(start + i * 6 + r.randint(0, 3), start + i * 6 + r.randint(0, 3) + shift) for i in range(r.randint(2, 12))}
+        matches |= {(r.randint(0, 360), r.randint(0, 560)) for _ in range(r.randint(0, 40))}
+        best = best_chain(matches)
+        found = list(passages.chains(list(matches)))
+        assert sorted(m for c in found for m in c) == sorted(matches)
+        assert abs(scored(found[0]) - max(best.values())) < 1e-9
+
+
+def test_repeated_passages_apart(spark):
+    one, two = prose(60, 40), prose(60, 41)
+    texts = [f"{one} {prose(40, 42)} {two}", f"{one} {prose(40, 43)} {two}"]
+    got = {(r.other_start, r.other_end, r.start, r.end) for r in passages.repeated_passages(docs_of(spark, texts)).collect()}
+    assert got == {(0, 60, 0, 60), (100, 160, 100, 160)}
+
+
 def test_repeated_passages(spark):
     shared, loose = prose(70, 30), prose(80, 31).split()
     edited = list(loose)
