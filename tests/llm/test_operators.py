@@ -187,6 +187,13 @@ def test_line_dedup_sees_all_characters(spark):
     assert got[1] and not got[3]
 
 
+def test_line_dedup_links_lines_that_repeat_their_shingles(spark):
+    texts = [" ".join(["ha"] * 20), " ".join(["ha"] * 60), " ".join(["-"] * 20), " ".join(["-"] * 90), prose(20, 970)]
+    assert full_shingles(texts[0]) == full_shingles(texts[1]) and full_shingles(texts[2]) == full_shingles(texts[3])
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(docs_of(spark, texts)).collect()}
+    assert got == {0: texts[0], 1: "", 2: texts[2], 3: "", 4: texts[4]}
+
+
 def test_decontamination(spark):
     items = [(1, prose(40, 20)), (2, prose(15, 21)), (3, "two words"), (4, None), (5, "")]
     w = items[0][1].split()
