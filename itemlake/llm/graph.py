@@ -73,12 +73,16 @@ def candidates(postings: DataFrame, retained: DataFrame, path: Column, fits: Col
     pair, structs of id and size. payload: a member is a pair of id and size, so
     that pairs have their sizes (p, q) and long lists theirs.
 
-    Ids that are similar by what few ids have meet in a short list. In a large
+    Ids that share a value of few ids meet in a short list, so it takes many
+    posted values to find the ones that are similar inside a group that is less
+    so, of which they share few values beyond the group's own. In a large
     group of similar ids each meets the smallest of every list it is in, at
     every depth, and the `hot` others whose values agree longest.
     """
     pairs, rest = [], postings
-    for depth, deeper in zip(DEPTHS, [*DEPTHS[1:], None]):
+    # what a list's members are split by at each depth: hashes, as the path itself is many times as long
+    splits = F.array(*(F.xxhash64(F.slice("path", 1, d)) for d in DEPTHS[1:])).alias("splits")
+    for level, (depth, deeper) in enumerate(zip(DEPTHS, [*DEPTHS[1:], None])):
         lists = rest.groupBy("value").agg(F.count("*").alias("members")).filter("members > 1")
         tagged = written(rest.join(lists, "value"), "lists")
         pairs.append(_pairs(tagged.filter(F.col("members") <= hot), fits, payload))
@@ -87,10 +91,10 @@ def candidates(postings: DataFrame, retained: DataFrame, path: Column, fits: Col
             break
         pairs.append(_star(long, fits, payload))
         if not depth:
-            long = long.join(retained, "id").select("id", "size", "value", path.alias("path"))
-        if deeper is None or long.agg(F.max(F.size("path"))).first()[0] <= depth:
+            long = long.join(retained, "id").select("id", "size", "value", path.alias("path")).select("id", "size", "value", F.size("path").alias("steps"), splits)
+        if deeper is None or long.agg(F.max("steps")).first()[0] <= depth:
             break
-        rest = long.select("id", "size", F.xxhash64("value", F.slice("path", depth + 1, deeper - depth)).alias("value"), "path")
+        rest = long.select("id", "size", F.xxhash64("value", F.element_at("splits", level + 1)).alias("value"), "steps", "splits")
     return written(reduce(DataFrame.union, pairs).distinct(), "pairs"), long.select("value", "id", *(["size"] if payload else [])).distinct()
 
 

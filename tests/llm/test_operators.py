@@ -142,6 +142,20 @@ def test_near_duplicates(spark):
     assert neardup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_near_duplicates_inside_a_template(spark):
+    """Near copies among many texts that share a template, which alone is under the bound."""
+    template, texts = prose(240, 60), []
+    for i in range(700):
+        texts.append(f"{template} {prose(62, 2000 + i)}")
+        if i < 40:
+            texts.append(" ".join(texts[-1].split()[: 240 + 24 + i % 8]) + " " + prose(38 - i % 8, 4000 + i))
+    sets = [shingle_set(t) for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    assert len(links) == 40
+    got = {r.id: r.component for r in neardup.near_duplicates(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == smallest_reachable(len(texts), links)
+
+
 def test_line_dedup(spark):
     line, other = prose(30, 7), prose(30, 8)
     fuzzy = " ".join("changed" if i == 29 else w for i, w in enumerate(line.split()))
