@@ -321,6 +321,18 @@ def test_chains_after_a_finished_one():
         assert abs(scored(found[0]) - max(best.values())) < 1e-9
 
 
+def test_alignment_goes_on_over_edits():
+    """A passage of 60 words with edits at 12 and 48, of which the chain has the middle."""
+    for edit in (["changed"], [], ["two", "words"]):
+        words = prose(60, 44).split()
+        other = words[:12] + edit + words[13:48] + ["changed"] + words[49:]
+        a, b = (passages.words_of(f"{prose(30, 45 + n)} {' '.join(w)} {prose(30, 55 + n)}") for n, w in enumerate((words, other)))
+        shift = len(edit) - 1
+        p = [30 + 16, 30 + 36]
+        got = passages.aligned(a, b, p, [x + shift for x in p])
+        assert got == (30, 90, 30, 90 + shift, 58)
+
+
 def test_repeated_passages_apart(spark):
     one, two = prose(60, 40), prose(60, 41)
     texts = [f"{one} {prose(40, 42)} {two}", f"{one} {prose(40, 43)} {two}"]
