@@ -30,9 +30,14 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row of the smallest id of each group of near duplicates, and every row that is in none."""
-    found = neardup.near_duplicates(docs).filter(F.col("id") != F.col("component")).select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(found, "doc_id", "left_anti")
+    """The row of the smallest id of each group of near duplicates, and every row that is in none.
+
+    Null ids come last, and of one id the smallest hash of a text first.
+    """
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text"))
+    found = neardup.near_duplicates(docs.select(row.alias("doc_id"), "text")).filter(F.col("id") != F.col("component"))
+    gone = found.select(F.col("id.doc_id").alias("_id"), F.col("id.text").alias("_text")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_text")), "left_anti")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

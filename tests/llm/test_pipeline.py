@@ -53,3 +53,14 @@ def docs_extra():
     from pyspark.sql import functions as F
 
     return F.lit("extra")
+
+
+def test_near_duplicates_go_by_id_and_text(spark):
+    one, other, third = prose(80, 700), prose(80, 701), prose(80, 702)
+    near = [" ".join(t.split()[:-1] + ["end"]) for t in (one, third)]
+    rows = [(1, one), (2, near[0]), (2, other), (None, near[0] + " more"), (None, third), (None, near[1]), (3, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    left = [r for r in got if r[1] not in (third, near[1])]
+    assert sorted(left, key=str) == sorted([(1, one), (2, other), (3, None), (3, "")], key=str)
+    assert len(got) == 5  # and one of the two that have no id
