@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -25,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     spark.conf.set("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='spark-')}")
     return spark.conf.get("spark.checkpoint.dir")
@@ -36,9 +37,31 @@ def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
 
 
-def small(df: DataFrame, rows: int = 1 << 20) -> DataFrame:
-    """df marked for a broadcast if it is counted to have at most so many rows, else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, most: int = 32 << 20) -> DataFrame:
+    """df marked for a broadcast if it is measured to have at most so many bytes, else as it is.
+
+    A row counts as its fixed columns, the texts in it and the elements of its
+    arrays, and what a hash table adds. One aggregation, of which one row comes back.
+    """
+    width = F.lit(32)
+    for field in df.schema:
+        kind = field.dataType.typeName()
+        if kind in ("string", "binary"):
+            width = width + F.coalesce(F.octet_length(field.name), F.lit(0))
+        elif kind == "array":
+            width = width + 16 * F.coalesce(F.array_size(field.name), F.lit(0))
+        else:
+            width = width + 16
+    total = df.agg(F.sum(width.cast("long")).alias("bytes")).first().bytes
+    return F.broadcast(df) if (total or 0) <= most else df
+
+
+def apart(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column of df has it (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

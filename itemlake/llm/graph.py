@@ -1,15 +1,31 @@
-"""Connected components and candidate pairs, by DataFrame operations alone."""
+"""Links between sets that may be similar, and connected components, by DataFrame operations alone.
+
+Lists (id, size, value) say which members hold a value; every pair over the
+bound meets in some list. `linked` confirms their links in two phases, each of
+a fixed number of jobs whatever the data:
+
+1. Short lists give all their pairs, longer ones a star around their smallest
+   member. What is confirmed forms components.
+2. A long list all of whose members are in one component has nothing to add.
+   The members of the others are held against each other by prefixes of their
+   whole sets, rarest elements first: two sets over the bound share an element
+   of both prefixes, whatever else they share with others, so what many hold
+   (a template, a passage) makes no list. This phase is exact. Pairs of one
+   component are not formed; lists that are still long are dealt in blocks.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from itemlake.llm.common import drop, written
+from itemlake.llm.common import drop, small, written
 
-HOT = 24  # longest list of which every pair is formed
+HOT = 16  # longest list of which every pair is formed in the first phase
+BLOCK = 64  # members of a block of a list that is long in the second phase
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -32,8 +48,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("low"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("low"))
-        small = large.join(least, "u")
-        after = small.filter("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v")).union(small.select("u", F.col("low").alias("v"))).distinct()
+        joined = large.join(least, "u")
+        after = joined.filter("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v")).union(joined.select("u", F.col("low").alias("v"))).distinct()
         after = written(after, "edges")
         drop(now)
         now = after
@@ -41,89 +57,92 @@ def components(edges: DataFrame) -> DataFrame:
     return ends.union(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
-def _pairs(lists: DataFrame, fits: Column, payload: bool) -> DataFrame:
-    """(a, b) of every two members of each bounded list that fit; with their sizes (p, q) if asked for."""
-    held = lists.groupBy("value").agg(F.sort_array(F.collect_set(F.struct("id", "size"))).alias("m"))
+def _pairs(lists: DataFrame, fits: Column, *more: str) -> DataFrame:
+    """(a, b) of every two members of each bounded list that fit."""
+    held = lists.groupBy("value").agg(F.sort_array(F.collect_set(F.struct("id", "size", *more))).alias("m"))
     every = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
-    sizes = [F.col("x.size").alias("p"), F.col("y.size").alias("q")] if payload else []
-    return held.select(F.explode(every).alias("p")).select("p.x", "p.y").filter(fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), *sizes)
+    return held.select(F.explode(every).alias("p")).select("p.x", "p.y").filter(fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
-#: Numbers of further values by which long lists are split, level by level.
-DEPTHS = (0, 1, 2, 3, 4, 6, 8, 11, 15, 20, 27, 36, 48, 63)
+def fit(percent: int) -> Column:
+    """Whether members x and y have sizes under which they can reach the bound."""
+    x, y = F.col("x.size"), F.col("y.size")
+    return (100 * x >= percent * y) & (100 * y >= percent * x)
 
 
-def _star(lists: DataFrame, fits: Column, payload: bool) -> DataFrame:
-    """(a, b) of each list's smallest member and every other one that fits, as of _pairs()."""
-    low = lists.groupBy("value").agg(F.min(F.struct("id", "size")).alias("x"))
-    both = lists.join(low, "value").select("x", F.struct("id", "size").alias("y")).filter((F.col("x") != F.col("y")) & fits)
-    sizes = [F.col("x.size").alias("p"), F.col("y.size").alias("q")] if payload else []
-    return both.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), *sizes)
+def candidates(postings: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, long): the pairs (a, b) of short lists and of each long list's star; the values of the long lists.
 
-
-def candidates(postings: DataFrame, retained: DataFrame, path: Column, fits: Column, hot: int = HOT, payload: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Pairs from inverted lists, without all pairs of a long list.
-
-    postings (id, size, value, at): id is in the list of value, its at-th.
-    retained (id, values) and path, an array over values and at, give further
-    values by which a list of more than `hot` members is split, one after the
-    other. Returns the pairs (a, b) of the lists that are or become short, and
-    the members (value, id) of lists that are still long when the path ends:
-    these agree in all of it. fits: a condition on the members x and y of a
-    pair, structs of id and size. payload: a member is a pair of id and size, so
-    that pairs have their sizes (p, q) and long lists theirs.
-
-    Ids that share a value of few ids meet in a short list, so it takes many
-    posted values to find the ones that are similar inside a group that is less
-    so, of which they share few values beyond the group's own. In a large
-    group of similar ids each meets the smallest of every list it is in, at
-    every depth, and the `hot` others whose values agree longest.
+    No list is brought together that has more than HOT members: a first
+    aggregation keeps counts and ends, which are all that lists of two need,
+    and the others' members are looked up by value.
     """
-    pairs, rest = [], postings
-    # what a list's members are split by at each depth: hashes, as the path itself is many times as long
-    splits = F.array(*(F.xxhash64(F.slice("path", 1, d)) for d in DEPTHS[1:])).alias("splits")
-    for level, (depth, deeper) in enumerate(zip(DEPTHS, [*DEPTHS[1:], None])):
-        lists = rest.groupBy("value").agg(F.count("*").alias("members")).filter("members > 1")
-        tagged = written(rest.join(lists, "value"), "lists")
-        pairs.append(_pairs(tagged.filter(F.col("members") <= hot), fits, payload))
-        long = tagged.filter(F.col("members") > hot).drop("members")
-        if long.isEmpty():
-            break
-        pairs.append(_star(long, fits, payload))
-        if not depth:
-            long = long.join(retained, "id").select("id", "size", "value", path.alias("path")).select("id", "size", "value", F.size("path").alias("steps"), splits)
-        if deeper is None or long.agg(F.max("steps")).first()[0] <= depth:
-            break
-        rest = long.select("id", "size", F.xxhash64("value", F.element_at("splits", level + 1)).alias("value"), "steps", "splits")
-    return written(reduce(DataFrame.union, pairs).distinct(), "pairs"), long.select("value", "id", *(["size"] if payload else [])).distinct()
-
-
-def first_of(lists: DataFrame) -> DataFrame:
-    """Links (a, b) of every member of the lists (value, id) to the list's smallest."""
-    low = lists.groupBy("value").agg(F.min("id").alias("a"))
-    return lists.join(low, "value").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
-
-
-def connect(pairs: DataFrame, long: DataFrame, verify) -> DataFrame:
-    """Components of the links that verify() confirms, among pairs and within long lists.
-
-    The members of a long list are compared with its smallest. While members
-    are left in several components, the smallest has had all its comparisons
-    and leaves, and the next one takes its place: no two members of different
-    components remain uncompared, and a list of one component ends at once.
+    member, fits = F.struct("id", "size"), fit(percent)
+    ends = postings.groupBy("value").agg(F.count("*").alias("n"), F.min(member).alias("x"), F.max(member).alias("y"))
+    lists = written(ends.filter("n > 1"), "lists")
+    two = lists.filter("n = 2").filter(fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    some = postings.join(small(lists.filter(F.col("n").between(3, HOT)).select("value")), "value")
+    long = lists.filter(F.col("n") > HOT)
+    star = postings.join(small(long.select("value", "x")), "value").select("x", member.alias("y")).filter((F.col("x") != F.col("y")) & fits)
+    pairs = two.union(_pairs(some, fits)).union(star.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))).distinct()
+    return written(pairs, "pairs"), long.select("value")
+
+
+def unsettled(postings: DataFrame, long: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, size, label, n): members of long lists that hold several components, and in how many of these each is."""
+    members = written(postings.join(small(long), "value"), "members")
+    labels = found.select(F.col("node").alias("id"), "label")
+    labelled = members.join(labels, "id", "left").select("value", "id", "size", F.coalesce("label", "id").alias("label"))
+    open_ = labelled.groupBy("value").agg(F.min("label").alias("one"), F.max("label").alias("other")).filter("one <> other").select("value")
+    return labelled.join(small(written(open_, "open")), "value", "left_semi").groupBy("id").agg(F.max("size").alias("size"), F.max("label").alias("label"), F.count("*").alias("n"))
+
+
+def prefix_pairs(elements: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a superset of the pairs over the bound of sets in different components.
+
+    elements (id, size, label, value): every element of every set once. Of two
+    sets over the bound, the smaller one shares an element of its first
+    size - 2 * percent / (100 + percent) * size + 1 with the first
+    size - percent / 100 * size + 1 of the other.
+    """
+    shared = elements.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1")
+    ranked = elements.join(shared, "value").groupBy("id").agg(F.max("size").alias("size"), F.max("label").alias("label"), F.sort_array(F.collect_list(F.struct("n", "value"))).alias("v"))
+    # elements that no other set has come first and make no list
+    alone = F.col("size") - F.size("v")
+    small_end = F.col("size") - F.ceil(F.col("size") * (2 * percent) / (100 + percent)) + 1 - alone
+    large_end = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1 - alone
+    first = F.slice("v", F.lit(1), F.greatest(F.lit(0), large_end).cast("int"))
+    posted = ranked.select("id", "size", "label", small_end.alias("end"), F.posexplode(first).alias("at", "e")).select("id", "size", "label", F.col("e.value").alias("value"), (F.col("at") < F.col("end")).alias("least"))
+    posted = written(posted, "prefixes")
+    sums = posted.groupBy("value").agg(F.count("*").alias("n"), F.count_if("least").alias("k"), F.min("label").alias("one"), F.max("label").alias("other"))
+    lists = written(sums.filter("k > 0 and one <> other").select("value", "n", "k"), "lists")
+    x, y = F.col("x"), F.col("y")
+    either = (x["least"] & (x["size"] <= y["size"])) | (y["least"] & (y["size"] <= x["size"]))
+    fits = fit(percent) & either & (x["label"] != y["label"])
+    some = posted.join(small(lists.filter(F.col("n") <= HOT).select("value")), "value")
+    long = posted.join(small(lists.filter(F.col("n") > HOT)), "value").withColumn("blocks", F.ceil(F.col("k") / BLOCK))
+    dealt = long.filter("least").groupBy("value", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block")).agg(F.collect_list(F.struct("id", "size", "label", "least")).alias("m"))
+    beside = long.select("value", F.struct("id", "size", "label", "least").alias("y"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    met = beside.join(dealt, ["value", "block"]).select("y", F.explode("m").alias("x")).filter(fits & (x["id"] != y["id"]))
+    return _pairs(some, fits, "label", "least").union(met.select(F.least(x["id"], y["id"]).alias("a"), F.greatest(x["id"], y["id"]).alias("b"))).distinct()
+
+
+def linked(postings: DataFrame, percent: int, verify: Callable[[DataFrame], DataFrame], elements: Callable[[DataFrame], DataFrame], least: Column | None = None) -> DataFrame:
+    """(node, label): components of the links that verify() confirms.
+
+    postings (id, size, value) with an id in a list once; verify turns pairs
+    (a, b) into those over the bound; elements turns (id, size, label) into
+    the whole sets, (id, size, label, value). least: a condition on (size, n)
+    that members of n open lists meet if they can have a link there.
     """
+    pairs, long = candidates(postings, percent)
     links = written(verify(pairs), "links")
-    lists = written(long, "long")
-    if lists.isEmpty():
+    if long.isEmpty():
         return components(links)
-    while True:
-        links = written(links.union(verify(first_of(lists))).distinct(), "links")
-        found = written(components(links), "components")
-        low = lists.groupBy("value").agg(F.min("id").alias("low"))
-        left = lists.join(low, "value").filter("id <> low").drop("low")
-        labelled = left.join(found.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        # the one that left is compared with all; lists of one component have nothing to add
-        spread = labelled.groupBy("value").agg(F.min("label").alias("one"), F.max("label").alias("other")).filter("one <> other").select("value")
-        lists = written(left.join(spread, "value", "left_semi"), "long")
-        if lists.isEmpty():
-            return found
+    found = written(components(links), "components")
+    hot = unsettled(postings, long, found)
+    hot = written((hot if least is None else hot.filter(least)).drop("n"), "hot")
+    if hot.isEmpty():
+        return found
+    more = written(verify(written(prefix_pairs(written(elements(hot), "elements"), percent), "pairs")), "links")
+    return found if more.isEmpty() else components(links.union(more))

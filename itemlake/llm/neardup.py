@@ -9,13 +9,11 @@ the union of two sketches estimate their similarity, and pairs far below the
 bound go; the others are held against each other's full sets.
 
 Two sets of similarity s meet in no list with probability (1 - s) ** K, 3e-39
-at the bound of 0.75, and the estimate misses it by MARGIN standard errors. In
-a large group that shares a template, two meet in a short list by what they
-alone share: if that is a part r of their union, they do in none with
-probability (1 - r) ** K, 0.04 for r = 0.05 (similarity 0.75, with a template
-of 0.8 of each), and are then left to the splits of long lists. Lists longer than graph.HOT are split by the next retained values, and
-what is left of them is compared member by member until each list is settled
-(graph.connect), so neither shared passages nor large groups form all pairs.
+at the bound of 0.75, and the estimate misses it by MARGIN standard errors.
+Values that many classes retain (a template, a common passage) make long lists:
+their members are settled as graph.linked says, in components first and then by
+prefixes of the whole sets, so neither shared passages nor large groups form all
+pairs and no link is left out.
 
 Null and empty texts, and texts of white space, have the empty set and are
 linked with nothing. Rows that repeat are of one class. Rows of a null id take
@@ -33,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from itemlake.llm.common import small, small_batches, written
-from itemlake.llm.graph import candidates, connect
+from itemlake.llm.graph import linked
 
 SHINGLE = 5
 K = 64
@@ -113,37 +111,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, n_shingles, component): per row its set's size and the smallest id that links reach."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sketched = written(shingled(rows, K, size), "sketches")
-    classes = written(sketched.filter("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("hashes").alias("hashes")), "classes")
-
-    posted = classes.select(F.col("key").alias("id"), F.col("n").alias("size"), F.posexplode("hashes").alias("at", "value"))
-    retained = classes.select(F.col("key").alias("id"), F.col("hashes").alias("values"))
-    # all the other retained values, so that sets that agree in all of them and are no larger are of one class
-    whole = F.slice(F.concat("values", "values"), F.col("at") + 2, F.size("values") - 1)
-    x, y = F.col("x.size"), F.col("y.size")
-    pairs, long = candidates(posted, retained, whole, (100 * x >= percent * y) & (100 * y >= percent * x))
-
-    def verify(some: DataFrame) -> DataFrame:
-        a, b = (classes.select(F.col("key").alias(s), F.col("n").alias(f"n_{s}"), F.col("hashes").alias(f"h_{s}")) for s in "ab")
-        both = some.join(a, "a").join(b, "b")
+    classes = sketched.filter("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("hashes").alias("hashes"))
+    # numbers are fixed once they are written
+    classes = written(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    posted = classes.select(F.col("cls").alias("id"), F.col("n").alias("size"), F.explode("hashes").alias("value"))
+    bound = percent / 100
+    margin = MARGIN * (bound * (1 - bound) / K) ** 0.5
+
+    def whole(needed: DataFrame) -> DataFrame:
+        """(cls, hashes): the whole sets of these classes, from the texts of their smallest ids."""
+        sources = written(classes.join(small(needed), "cls", "left_semi").select("key", "cls", F.col("id").alias("source")), "sources")
+        texts = rows.join(small(sources.select("source").distinct()), F.col("id").eqNullSafe(F.col("source")), "left_semi")
+        return written(shingled(texts, None, size).select("key", "hashes").join(small(sources.select("key", "cls")), "key").select("cls", "hashes").dropDuplicates(["cls"]), "sets")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        a, b = (classes.select(F.col("cls").alias(s), F.col("n").alias(f"n_{s}"), F.col("hashes").alias(f"h_{s}")) for s in "ab")
         union = F.slice(F.array_sort(F.array_union("h_a", "h_b")), 1, K)
         share = F.size(F.array_intersect(F.array_intersect("h_a", "h_b"), union)) / F.size(union)
-        bound = percent / 100
-        enough = bound - MARGIN * (bound * (1 - bound) / K) ** 0.5
-        likely = written(both.filter(share >= enough).select("a", "b", "n_a", "n_b"), "likely")
-        needed = likely.select(F.col("a").alias("key")).union(likely.select(F.col("b").alias("key"))).distinct()
-        sources = classes.join(needed, "key", "left_semi").select(F.col("id").alias("source")).distinct()
-        texts = rows.join(small(sources), F.col("id").eqNullSafe(F.col("source")), "left_semi")
-        full = shingled(texts, None, size).filter("n > 0").groupBy("key").agg(F.first("hashes").alias("hashes"))
-        full = written(full, "sets")
-        sets_a, sets_b = (full.select(F.col("key").alias(s), F.col("hashes").alias(f"s_{s}")) for s in "ab")
-        shared = F.size(F.array_intersect("s_a", "s_b"))
-        found = likely.join(sets_a, "a").join(sets_b, "b").withColumn("shared", shared)
+        likely = written(pairs.join(a, "a").join(b, "b").filter(share >= bound - margin).select("a", "b", "n_a", "n_b"), "likely")
+        full = whole(written(likely.select(F.col("a").alias("cls")).union(likely.select(F.col("b").alias("cls"))).distinct(), "needed"))
+        sets_a, sets_b = (full.select(F.col("cls").alias(s), F.col("hashes").alias(f"s_{s}")) for s in "ab")
+        found = likely.join(sets_a, "a").join(sets_b, "b").withColumn("shared", F.size(F.array_intersect("s_a", "s_b")))
         return found.filter(100 * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b")
 
-    labels = written(connect(pairs, long, verify), "labels")
-    named = labels.join(classes.select(F.col("key").alias("node"), "id"), "node")
+    def elements(hot: DataFrame) -> DataFrame:
+        held = whole(hot.select(F.col("id").alias("cls"))).withColumnRenamed("cls", "id").join(hot, "id")
+        return held.select("id", "size", "label", F.explode("hashes").alias("value"))
+
+    # a pair over the bound shares so many retained values; one that shares none in a short list has all of them in long ones
+    least = F.col("n") >= F.least(F.ceil(F.col("size") * percent / 100), F.lit(int(K * (bound - margin))))
+    labels = written(linked(posted, percent, verify, elements, least), "labels")
+    named = labels.join(classes.select(F.col("cls").alias("node"), "id"), "node")
     lowest = named.groupBy("label").agg(F.min("id").alias("component"))
-    linked = named.join(lowest, "label").select(F.col("node").alias("key"), "component")
-    of_class = classes.join(linked, "key", "left").select("key", F.coalesce("component", "id").alias("component"))
+    linked_to = named.join(lowest, "label").select(F.col("node").alias("cls"), "component")
+    of_class = classes.select("cls", "key", "id").join(linked_to, "cls", "left").select("key", F.coalesce("component", "id").alias("component"))
     joined = sketched.select("id", "n", "key").join(of_class, "key", "left")
     return joined.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))

@@ -173,7 +173,7 @@ def test_line_dedup_equals_brute_force(spark):
         for j in range(i // 20 * (i % 4)):
             w[j * 4] = f"new{i}"
         lines.append(" ".join(w))
-    sets = [set(re.findall(r"(?=(\S.{0,11}))\S+", t)) for t in lines]
+    sets = [full_shingles(t) for t in lines]
     links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
     want = smallest_reachable(len(lines), links)
     got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
@@ -208,6 +208,42 @@ def test_line_dedup_links_lines_that_repeat_their_shingles(spark):
     assert got == {0: texts[0], 1: "", 2: texts[2], 3: "", 4: texts[4]}
 
 
+def test_near_duplicates_among_texts_that_share_a_long_passage(spark):
+    """300 texts share 304 words, of which alone they are no near copies; 150 pairs share 48 more."""
+    passage, texts = prose(304, 61), []
+    for i in range(150):
+        more = prose(48, 5000 + i)
+        texts += [f"{passage} {more} {prose(48, 6000 + 2 * i + j)}" for j in range(2)]
+    sets = [shingle_set(t) for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    assert len(links) == 150
+    got = {r.id: r.component for r in neardup.near_duplicates(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == smallest_reachable(len(texts), links)
+
+
+def test_line_dedup_inside_a_template(spark):
+    """Lines that share a template, which alone is under the bound, some of which are near copies; and a large group of those."""
+    template, lines = prose(30, 62), []
+    for i in range(300):
+        lines.append(f"{template} {prose(12, 7000 + i)}")
+        if i < 30:
+            lines.append(" ".join(lines[-1].split()[:39] + prose(3, 7500 + i).split()))
+    one = prose(40, 63).split()
+    lines += [" ".join(one[:j] + [f"x{j}{i}"] + one[j + 1 :]) for i in range(10) for j in range(40)]
+    sets = [full_shingles(t) for t in lines]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    want = smallest_reachable(len(lines), links)
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    assert [i for i in range(len(lines)) if got[i]] == [i for i in range(len(lines)) if want[i] == i]
+    assert len(set(want)) <= 301
+
+
+def test_line_dedup_keeps_columns_whose_names_clash(spark):
+    docs = spark.createDataFrame([(1, "a\na\nb", 5, [7], 9), (2, "b", 6, None, 8)], "doc_id long, text string, row long, places array<int>, _row long")
+    got = sorted(tuple(r) for r in linededup.dedup_lines(docs).collect())
+    assert got == [(1, "a\nb", 5, [7], 9), (2, "", 6, None, 8)]
+
+
 def test_decontamination(spark):
     items = [(1, prose(40, 20)), (2, prose(15, 21)), (3, "two words"), (4, None), (5, "")]
     w = items[0][1].split()
