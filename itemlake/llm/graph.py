@@ -1,11 +1,11 @@
 """Links between sets that may be similar, and connected components, by DataFrame operations alone.
 
-Lists (id, size, value) say which members hold a value; every pair over the
-bound meets in some list. `linked` confirms their links in two phases, each of
+Lists (id, value) say which members hold a value; every pair over the bound
+meets in some list. `linked` confirms their links in two phases, each of
 a fixed number of jobs whatever the data:
 
-1. Short lists give all their pairs, longer ones a star around their smallest
-   member. What is confirmed forms components.
+1. Short lists give all their pairs, longer ones a star around one member.
+   What is confirmed forms components.
 2. A long list all of whose members are in one component has nothing to add.
    The members of the others are held against each other by prefixes of their
    whole sets, rarest elements first: two sets over the bound share an element
@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from itemlake.llm.common import drop, small, written
 
-HOT = 16  # longest list of which every pair is formed in the first phase
+HOT = 16  # longest list of which every pair is formed
+CENTRES = 8  # centres that the long lists of a group have
 BLOCK = 64  # members of a block of a list that is long in the second phase
 
 
@@ -59,90 +60,94 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _pairs(lists: DataFrame, fits: Column, *more: str) -> DataFrame:
     """(a, b) of every two members of each bounded list that fit."""
-    held = lists.groupBy("value").agg(F.sort_array(F.collect_set(F.struct("id", "size", *more))).alias("m"))
+    held = lists.groupBy("value").agg(F.sort_array(F.collect_set(F.struct("id", *more))).alias("m"))
     every = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
     return held.select(F.explode(every).alias("p")).select("p.x", "p.y").filter(fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
-def fit(percent: int) -> Column:
-    """Whether members x and y have sizes under which they can reach the bound."""
-    x, y = F.col("x.size"), F.col("y.size")
-    return (100 * x >= percent * y) & (100 * y >= percent * x)
+def _mask(value: Column) -> Column:
+    """One of CENTRES masks, by the value; ids that are combined with it are in another order under each."""
+    return F.xxhash64(F.pmod(value, F.lit(CENTRES)))
 
 
-def candidates(postings: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs, long): the pairs (a, b) of short lists and of each long list's star; the values of the long lists.
+def candidates(postings: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """(pairs, long): the pairs (a, b) of short lists and of each long list's star; the members (value, id) of long lists.
 
-    No list is brought together that has more than HOT members: a first
-    aggregation keeps counts and ends, which are all that lists of two need,
-    and the others' members are looked up by value.
+    postings (id, value), ids being longs. No list is brought together that
+    has more than `hot` members: a first aggregation keeps counts and ends,
+    which are all that lists of two need, and the others' members are looked
+    up by value. The centres of stars differ with the value, so a member of
+    many long lists of a group meets up to CENTRES of them.
     """
-    member, fits = F.struct("id", "size"), fit(percent)
-    ends = postings.groupBy("value").agg(F.count("*").alias("n"), F.min(member).alias("x"), F.max(member).alias("y"))
-    lists = written(ends.filter("n > 1"), "lists")
-    two = lists.filter("n = 2").filter(fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    some = postings.join(small(lists.filter(F.col("n").between(3, HOT)).select("value")), "value")
-    long = lists.filter(F.col("n") > HOT)
-    star = postings.join(small(long.select("value", "x")), "value").select("x", member.alias("y")).filter((F.col("x") != F.col("y")) & fits)
-    pairs = two.union(_pairs(some, fits)).union(star.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))).distinct()
-    return written(pairs, "pairs"), long.select("value")
-
-
-def unsettled(postings: DataFrame, long: DataFrame, found: DataFrame) -> DataFrame:
-    """(id, size, label, n): members of long lists that hold several components, and in how many of these each is."""
-    members = written(postings.join(small(long), "value"), "members")
+    masked = F.col("id").bitwiseXOR(_mask(F.col("value")))
+    lists = written(postings.groupBy("value").agg(F.count("*").alias("n"), F.min(masked).alias("x"), F.max(masked).alias("y")).filter("n > 1"), "lists")
+    x, y = (F.col(c).bitwiseXOR(_mask(F.col("value"))) for c in "xy")
+    two = lists.filter("n = 2").select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    more = lists.filter("n > 2").select("value", x.alias("x"), (F.col("n") > hot).alias("long"))
+    members = written(postings.join(small(more), "value"), "members")
+    star = members.filter("long and id <> x")
+    pairs = two.union(_pairs(members.filter("not long"), F.lit(True))).union(star.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b"))).distinct()
+    return written(pairs, "pairs"), members.filter("long").select("value", "id")
+
+
+def unsettled(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, label, n): members of long lists (value, id) that hold several components, and in how many of these each is."""
     labels = found.select(F.col("node").alias("id"), "label")
-    labelled = members.join(labels, "id", "left").select("value", "id", "size", F.coalesce("label", "id").alias("label"))
+    labelled = written(members.join(labels, "id", "left").select("value", "id", F.coalesce("label", "id").alias("label")), "labelled")
     open_ = labelled.groupBy("value").agg(F.min("label").alias("one"), F.max("label").alias("other")).filter("one <> other").select("value")
-    return labelled.join(small(written(open_, "open")), "value", "left_semi").groupBy("id").agg(F.max("size").alias("size"), F.max("label").alias("label"), F.count("*").alias("n"))
+    return labelled.join(small(written(open_, "open")), "value", "left_semi").groupBy("id").agg(F.max("label").alias("label"), F.count("*").alias("n"))
 
 
 def prefix_pairs(elements: DataFrame, percent: int) -> DataFrame:
     """(a, b): a superset of the pairs over the bound of sets in different components.
 
-    elements (id, size, label, value): every element of every set once. Of two
-    sets over the bound, the smaller one shares an element of its first
-    size - 2 * percent / (100 + percent) * size + 1 with the first
-    size - percent / 100 * size + 1 of the other.
+    elements (id, label, value): every element of every set once. Elements are
+    in the order of how many sets have them. Two sets over the bound share at
+    least percent / (100 + percent) of the sum of their sizes, and of what they
+    share, the first element has so many elements left in either.
     """
-    shared = elements.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1")
-    ranked = elements.join(shared, "value").groupBy("id").agg(F.max("size").alias("size"), F.max("label").alias("label"), F.sort_array(F.collect_list(F.struct("n", "value"))).alias("v"))
-    # elements that no other set has come first and make no list
+    part = F.lit(percent / (100 + percent))
+    counts = elements.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1")
+    held = F.sort_array(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("n", "value"))))
+    ranked = elements.join(counts, "value", "left").groupBy("id").agg(F.count("*").alias("size"), F.max("label").alias("label"), held.alias("v"))
+    # elements that no other set has come first and make no list; a larger set shares percent of its own with a smaller one at least
     alone = F.col("size") - F.size("v")
-    small_end = F.col("size") - F.ceil(F.col("size") * (2 * percent) / (100 + percent)) + 1 - alone
-    large_end = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1 - alone
-    first = F.slice("v", F.lit(1), F.greatest(F.lit(0), large_end).cast("int"))
-    posted = ranked.select("id", "size", "label", small_end.alias("end"), F.posexplode(first).alias("at", "e")).select("id", "size", "label", F.col("e.value").alias("value"), (F.col("at") < F.col("end")).alias("least"))
-    posted = written(posted, "prefixes")
+    first = F.slice("v", F.lit(1), F.greatest(F.lit(0), F.col("size") - F.ceil(F.col("size") * percent / 100) + 1 - alone).cast("int"))
+    posted = ranked.select("id", "size", "label", alone.alias("alone"), F.posexplode(first).alias("at", "e"))
+    left = F.col("size") - F.col("alone") - F.col("at")
+    posted = written(posted.select("id", "size", "label", F.col("e.value").alias("value"), left.alias("left"), (left >= F.ceil(2 * part * F.col("size"))).alias("least")), "prefixes")
     sums = posted.groupBy("value").agg(F.count("*").alias("n"), F.count_if("least").alias("k"), F.min("label").alias("one"), F.max("label").alias("other"))
-    lists = written(sums.filter("k > 0 and one <> other").select("value", "n", "k"), "lists")
-    x, y = F.col("x"), F.col("y")
-    either = (x["least"] & (x["size"] <= y["size"])) | (y["least"] & (y["size"] <= x["size"]))
-    fits = fit(percent) & either & (x["label"] != y["label"])
+    lists = written(sums.filter("k > 0 and n > 1 and one <> other").select("value", "n", "k"), "lists")
+
+    def fits(x: Column, y: Column) -> Column:
+        least = F.ceil(part * (x["size"] + y["size"]))
+        return (x["label"] != y["label"]) & (x["left"] >= least) & (y["left"] >= least)
+
+    member = ("size", "label", "left")
     some = posted.join(small(lists.filter(F.col("n") <= HOT).select("value")), "value")
+    # of two sets, the smaller one's part of a list is `least`; these are dealt in blocks, which all others meet
     long = posted.join(small(lists.filter(F.col("n") > HOT)), "value").withColumn("blocks", F.ceil(F.col("k") / BLOCK))
-    dealt = long.filter("least").groupBy("value", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block")).agg(F.collect_list(F.struct("id", "size", "label", "least")).alias("m"))
-    beside = long.select("value", F.struct("id", "size", "label", "least").alias("y"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    met = beside.join(dealt, ["value", "block"]).select("y", F.explode("m").alias("x")).filter(fits & (x["id"] != y["id"]))
-    return _pairs(some, fits, "label", "least").union(met.select(F.least(x["id"], y["id"]).alias("a"), F.greatest(x["id"], y["id"]).alias("b"))).distinct()
+    dealt = long.filter("least").groupBy("value", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block")).agg(F.collect_list(F.struct("id", *member)).alias("m"))
+    beside = long.select("value", F.struct("id", *member).alias("y"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    met = beside.join(dealt, ["value", "block"]).select("y", F.explode(F.filter("m", lambda x: fits(x, F.col("y")))).alias("x"))
+    return _pairs(some, fits(F.col("x"), F.col("y")), *member).union(met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))).distinct()
 
 
-def linked(postings: DataFrame, percent: int, verify: Callable[[DataFrame], DataFrame], elements: Callable[[DataFrame], DataFrame], least: Column | None = None) -> DataFrame:
+def linked(postings: DataFrame, percent: int, verify: Callable[[DataFrame], DataFrame], elements: Callable[[DataFrame], DataFrame], hot: int = HOT) -> DataFrame:
     """(node, label): components of the links that verify() confirms.
 
-    postings (id, size, value) with an id in a list once; verify turns pairs
-    (a, b) into those over the bound; elements turns (id, size, label) into
-    the whole sets, (id, size, label, value). least: a condition on (size, n)
-    that members of n open lists meet if they can have a link there.
+    postings (id, value) with an id in a list once; verify turns pairs (a, b)
+    into those over the bound; elements turns members (id, label, n) of n open
+    lists into the whole sets (id, label, value) of those that may have
+    a link there.
     """
-    pairs, long = candidates(postings, percent)
+    pairs, long = candidates(postings, hot)
     links = written(verify(pairs), "links")
     if long.isEmpty():
         return components(links)
     found = written(components(links), "components")
-    hot = unsettled(postings, long, found)
-    hot = written((hot if least is None else hot.filter(least)).drop("n"), "hot")
-    if hot.isEmpty():
+    open_ = written(unsettled(long, found), "open")
+    if open_.isEmpty():
         return found
-    more = written(verify(written(prefix_pairs(written(elements(hot), "elements"), percent), "pairs")), "links")
+    more = written(verify(written(prefix_pairs(written(elements(open_), "elements"), percent), "pairs")), "links")
     return found if more.isEmpty() else components(links.union(more))

@@ -114,7 +114,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = sketched.filter("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("hashes").alias("hashes"))
     # numbers are fixed once they are written
     classes = written(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
-    posted = classes.select(F.col("cls").alias("id"), F.col("n").alias("size"), F.explode("hashes").alias("value"))
+    posted = classes.select(F.col("cls").alias("id"), F.explode("hashes").alias("value"))
     bound = percent / 100
     margin = MARGIN * (bound * (1 - bound) / K) ** 0.5
 
@@ -126,21 +126,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def verify(pairs: DataFrame) -> DataFrame:
         a, b = (classes.select(F.col("cls").alias(s), F.col("n").alias(f"n_{s}"), F.col("hashes").alias(f"h_{s}")) for s in "ab")
+        sizes = (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
         union = F.slice(F.array_sort(F.array_union("h_a", "h_b")), 1, K)
         share = F.size(F.array_intersect(F.array_intersect("h_a", "h_b"), union)) / F.size(union)
-        likely = written(pairs.join(a, "a").join(b, "b").filter(share >= bound - margin).select("a", "b", "n_a", "n_b"), "likely")
+        likely = written(pairs.join(a, "a").join(b, "b").filter(sizes).filter(share >= bound - margin).select("a", "b", "n_a", "n_b"), "likely")
         full = whole(written(likely.select(F.col("a").alias("cls")).union(likely.select(F.col("b").alias("cls"))).distinct(), "needed"))
         sets_a, sets_b = (full.select(F.col("cls").alias(s), F.col("hashes").alias(f"s_{s}")) for s in "ab")
         found = likely.join(sets_a, "a").join(sets_b, "b").withColumn("shared", F.size(F.array_intersect("s_a", "s_b")))
         return found.filter(100 * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b")
 
-    def elements(hot: DataFrame) -> DataFrame:
+    def elements(open_: DataFrame) -> DataFrame:
+        # a pair over the bound shares so many retained values; one that shares none in a short list has all of them in open ones
+        least = F.least(F.ceil(F.col("size") * percent / 100), F.lit(int(K * (bound - margin))))
+        hot = open_.join(classes.select(F.col("cls").alias("id"), F.col("n").alias("size")), "id").filter(F.col("n") >= least)
+        hot = written(hot.select("id", "label"), "hot")
         held = whole(hot.select(F.col("id").alias("cls"))).withColumnRenamed("cls", "id").join(hot, "id")
-        return held.select("id", "size", "label", F.explode("hashes").alias("value"))
+        return held.select("id", "label", F.explode("hashes").alias("value"))
 
-    # a pair over the bound shares so many retained values; one that shares none in a short list has all of them in long ones
-    least = F.col("n") >= F.least(F.ceil(F.col("size") * percent / 100), F.lit(int(K * (bound - margin))))
-    labels = written(linked(posted, percent, verify, elements, least), "labels")
+    labels = written(linked(posted, percent, verify, elements), "labels")
     named = labels.join(classes.select(F.col("cls").alias("node"), "id"), "node")
     lowest = named.groupBy("label").agg(F.min("id").alias("component"))
     linked_to = named.join(lowest, "label").select(F.col("node").alias("cls"), "component")
