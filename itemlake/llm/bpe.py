@@ -5,9 +5,10 @@ field by field: one piece for each token, its bytes mapped to the characters
 from U+0100 on, its score the negative rank, no normalisation. Sentencepiece
 then merges the best-scored neighbours first, which is the order of the ranks.
 
-Texts are split by the pre-token pattern; a pre-token that is a token itself
-takes that token's id, and others are encoded once and kept in a bounded cache
-of the worker. Memory of a task: one Arrow batch of texts and the cache.
+Texts are cut before single spaces, where a pre-token of the pattern is sure to
+end, and the parts split by the pattern; a pre-token that is a token itself
+takes that token's id, and others are encoded once. Parts and their ids are kept
+in a bounded cache of the worker. Memory of a task: one Arrow batch of texts and the cache.
 
 Null text: no ids (an empty list). Empty text: an empty list. Nulls among ids
 and ids outside the vocabulary are an error in decode(); a null list decodes
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import struct
+from array import array
 from functools import lru_cache
 from itertools import chain
 
@@ -101,37 +103,53 @@ class Codec:
         self.lengths, self.begin = lengths, np.cumsum(np.maximum(lengths, 0)) - np.maximum(lengths, 0)
         self.joined = np.frombuffer(b"".join(token for token, _ in by_rank), dtype=np.uint8)
         self.split = regex.compile(pattern).findall
+        self.blank_pairs = regex.compile(r" \s|\s ").search
+        self.before_words = regex.compile(r"(?<=\S)(?= \S)", regex.V1).split
         self.model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(self.ranks))
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Bring all these pre-tokens into the cache."""
+    def units(self, text: str) -> list[str]:
+        """The text, cut before each space between two characters that are no white space.
+
+        No pre-token holds such a space after another character, so a text's
+        ids are those of its units, of which most are one known word.
+        """
+        if "\0" in text or self.blank_pairs(text):
+            return self.before_words(text)
+        return text.replace(" ", "\0 ").split("\0")
+
+    def _learn(self, units: set[str]) -> None:
+        """Bring the ids of all these units, as bytes, into the cache."""
         if len(self.young) > CACHE:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
-        new, merge = [], []
-        for piece in pieces.difference(young):
-            known = old.get(piece)
-            if known is not None:
-                young[piece] = known
-                continue
-            raw = piece.encode()
-            rank = self.ranks.get(raw)
-            if rank is not None:
-                young[piece] = (rank,)
+        new: dict[str, list[str]] = {}
+        for unit in units.difference(young):
+            known = old.get(unit)
+            if known is None:
+                new[unit] = self.split(unit)
+            else:
+                young[unit] = known
+        merge = []
+        for piece in set(chain.from_iterable(new.values())).difference(young):
+            rank = self.ranks.get(piece.encode())
+            if rank is None:
+                merge.append(piece)
             else:
-                new.append(piece)
-                merge.append(mapped(raw))
-        if new:
-            ids = self.ids
-            for piece, found in zip(new, self.model.encode(merge, num_threads=1)):
-                young[piece] = tuple(found) if ids is None else tuple([ids[i] for i in found])
-
-    def encode(self, text: str) -> np.ndarray:
-        pieces = self.split(text)
-        self._learn(set(pieces))
-        return np.fromiter(chain.from_iterable(map(self.young.__getitem__, pieces)), dtype=np.int32)
+                young[piece] = array("i", (rank,)).tobytes()
+        if merge:
+            for piece, found in zip(merge, self.model.encode([mapped(p.encode()) for p in merge], num_threads=1)):
+                young[piece] = array("i", found if self.ids is None else [self.ids[i] for i in found]).tobytes()
+        for unit, pieces in new.items():
+            young[unit] = b"".join(map(young.__getitem__, pieces))
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Each text's ids as 32-bit integers, one after the other; new units of all texts are encoded together."""
+        cut = [self.units(t) if t else () for t in texts]
+        self._learn(set().union(*cut))
+        known = self.young.__getitem__
+        return [b"".join(map(known, units)) for units in cut]
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All the bytes of these ids, and the place where each id's begin (with the end)."""
@@ -153,13 +171,10 @@ def encode(text: Column, path: str, pattern: str) -> Column:
 
     @F.arrow_udf(ArrayType(IntegerType()))
     def ids_of(texts: pa.Array) -> pa.Array:
-        own, parts, ends = codec(path, pattern), [], [0]
-        for text in texts:
-            found = own.encode(text.as_py() or "")
-            parts.append(found)
-            ends.append(ends[-1] + len(found))
-        values = np.concatenate(parts) if parts else np.empty(0, dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
+        own = codec(path, pattern)
+        parts = own.encode(texts.to_pylist())
+        ends = np.cumsum([0, *map(len, parts)]) // 4
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), dtype=np.int32), pa.int32()))
 
     return ids_of(text)
 
