@@ -25,6 +25,8 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"),
         pii.listed(F.concat("base", "added")).alias("spans"),
         F.size("added").cast("long").alias("n_added"),
+        F.size(F.filter("added", lambda s: s["kind"] == len(pii.KINDS))).cast("long").alias("n_secret"),
+        (F.size("base") + F.size("added")).cast("long").alias("n_spans"),
     )
 
 
