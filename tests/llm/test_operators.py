@@ -265,6 +265,44 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(empty(spark), bench).count() == 0
 
 
+def test_decontamination_equals_brute_force(spark):
+    """All windows of an item's size against every item: edits, moved halves, repeats, odd sizes."""
+    items = [prose(40, 20 + i) for i in range(4)] + [prose(7, 80), "word " * 12, prose(3, 81)]
+    texts = []
+    for i in range(40):
+        w = items[i % 4].split()
+        for j in range(i // 8):
+            w[(j * 13 + i) % 40] = f"edit{j}"
+        if i % 3 == 0:
+            w = w[20:] + w[:20]
+        if i % 5 == 0:
+            w = w[:10] + w[12:]
+        texts.append(f"{prose(i, 90 + i)} {' '.join(w)} {prose(7, 140 + i)}")
+    texts += [f"{prose(9, 200)} {items[4]} {items[6]}", "word " * 30, "word " * 9, items[0][:150]]
+
+    def weighted(words, k):
+        out = {}
+        for i in range(len(words) - k + 1):
+            out[tuple(words[i : i + k])] = out.get(tuple(words[i : i + k]), 0) + 1
+        return out
+
+    want = {}
+    for d, text in enumerate(texts):
+        for m, item in enumerate(items):
+            w, k = item.split(), min(5, len(item.split()))
+            own, n, t = weighted(w, k), len(w) - k + 1, text.split()
+            for start in range(max(1, len(t) - k + 1 - n + 1)):
+                window = weighted(t[start : start + n + k - 1], k)
+                shared = sum(min(x, window.get(h, 0)) for h, x in own.items())
+                similarity = shared / (sum(own.values()) + sum(window.values()) - shared)
+                if 4 * shared >= 3 * (sum(own.values()) + sum(window.values()) - shared):
+                    want[d, m] = max(want.get((d, m), 0), similarity)
+    assert len(want) > 12 and want[3, 3] == 0.8  # moved halves
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.id, r.item_id): r.similarity for r in decontaminate.contaminated(docs_of(spark, texts), bench).collect()}
+    assert {k: round(v, 6) for k, v in got.items()} == {k: round(v, 6) for k, v in want.items()}
+
+
 def test_toxicity_learns_and_reaches_misspellings(spark):
     texts = [prose(60, 3000 + i).split() for i in range(1200)]
     for i in range(0, 1200, 4):
