@@ -26,7 +26,7 @@ from itemlake.llm.common import drop, small, written
 
 HOT = 16  # longest list of which every pair is formed
 CENTRES = 8  # centres that the long lists of a group have
-BLOCK = 64  # members of a block of a list that is long in the second phase
+BLOCK = 1024  # members of a block of a list that is long in the second phase
 
 
 def components(edges: DataFrame) -> DataFrame:

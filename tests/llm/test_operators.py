@@ -379,6 +379,17 @@ def test_chains_are_collinear_and_disjoint():
     assert list(passages.chains(run)) == [run] and best_chain(run)[run[-1]] > 20
 
 
+def test_matches_along_one_distance_are_one_chain():
+    for seed in range(100):
+        r = random.Random(seed)
+        at = [0]
+        for _ in range(r.randint(1, 20)):
+            at.append(at[-1] + r.randint(1, 2 * passages.SEED))
+        run = [(p, p + 9) for p in at]
+        assert passages._along(run) == [run] == list(passages.chains(run))
+    assert passages._along([(0, 5), (40, 45)]) is None and passages._along([(0, 5), (3, 9)]) is None
+
+
 def scored(chain):
     out = passages.SEED
     for (a, b), (p, q) in zip(chain, chain[1:]):
