@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Seconds up to which a lifetime snaps, and to what.
@@ -50,3 +50,8 @@ def keep_score(idle_s: Column, accesses: Column, size: Column, used: Column) ->
     """What an entry is worth keeping: recency, frequency and smallness, times the multiplier."""
     often = F.when(accesses == 0, 0.0).otherwise(F.log(1 + F.least(accesses, F.lit(1000)).cast("double")) / F.log(F.lit(1001.0)))
     return (0.4 * F.exp(-idle_s / 3600.0) + 0.4 * often + 0.2 / (1 + size / 1048576.0)) * keep_multiplier(used)
+
+
+def victims(entries: DataFrame, score: Column, most: int) -> DataFrame:
+    """The clean entries (not `dirty`) of the smallest scores, ties by key; dirty ones are not yet written and stay."""
+    return entries.filter(~F.col("dirty")).withColumn("score", score).orderBy("score", "key").limit(most)

@@ -17,9 +17,10 @@ def leaves(items: DataFrame) -> DataFrame:
 
 
 def build(leaf: DataFrame) -> DataFrame:
-    """All nodes (path, parent_path, merkle_hash, object_count, is_leaf) of the leaves (path, hash); the root's path is empty.
+    """All nodes (path, parent_path, merkle_hash, object_count, is_leaf, own_hash) of the leaves (path, hash); the root's path is empty.
 
-    An id that has children too takes the hash of its children. One action
+    An id that has children too takes the hash of its children and keeps its
+    leaf's in own_hash, which is null where the path is no id. One action
     finds the depth; each level is one aggregation of the level below, which
     is written, so that a lost executor costs one level.
     """
@@ -27,12 +28,12 @@ def build(leaf: DataFrame) -> DataFrame:
     deepest = leaf.agg(F.max("depth")).first()[0] or 0
     levels: list[DataFrame] = []
     for depth in range(deepest, -1, -1):
-        own = leaf.filter(F.col("depth") == depth).select("path", "hash", F.lit(0).cast("long").alias("children"))
+        own = leaf.filter(F.col("depth") == depth).select("path", "hash", F.lit(0).cast("long").alias("children"), F.col("hash").alias("own_hash"))
         if levels:
             child = F.struct(last_segment(F.col("path")).alias("segment"), F.col("merkle_hash").alias("hash"))
-            made = levels[-1].groupBy(F.col("parent_path").alias("path")).agg(interior_hash(F.collect_list(child)).alias("hash"), F.count("*").alias("children"))
-            own = own.union(made).groupBy("path").agg(F.max_by("hash", "children").alias("hash"), F.max("children").alias("children"))
-        level = own.select("path", F.when(F.col("path") != "", parent(F.col("path"))).alias("parent_path"), F.col("hash").alias("merkle_hash"), F.col("children").alias("object_count"), (F.col("children") == 0).alias("is_leaf"))
+            made = levels[-1].groupBy(F.col("parent_path").alias("path")).agg(interior_hash(F.collect_list(child)).alias("hash"), F.count("*").alias("children")).withColumn("own_hash", F.lit(None).cast("string"))
+            own = own.union(made).groupBy("path").agg(F.max_by("hash", "children").alias("hash"), F.max("children").alias("children"), F.max("own_hash").alias("own_hash"))
+        level = own.select("path", F.when(F.col("path") != "", parent(F.col("path"))).alias("parent_path"), F.col("hash").alias("merkle_hash"), F.col("children").alias("object_count"), (F.col("children") == 0).alias("is_leaf"), "own_hash")
         levels.append(written(level, "level"))
     return reduce(DataFrame.union, levels)
 
@@ -42,12 +43,13 @@ def update(nodes: DataFrame, changed: DataFrame, deleted: DataFrame) -> DataFram
     touched = changed.select("path").union(deleted.select("path"))
     branches = touched.select(F.split_part(F.col("path"), F.lit("."), F.lit(1)).alias("branch")).distinct()
     of_branch = nodes.filter("path <> ''").withColumn("branch", F.split_part(F.col("path"), F.lit("."), F.lit(1)))
-    kept = of_branch.join(branches, "branch", "left_semi").filter("is_leaf").select("path", F.col("merkle_hash").alias("hash")).join(touched, "path", "left_anti")
+    kept = of_branch.join(branches, "branch", "left_semi").filter("own_hash is not null").select("path", F.col("own_hash").alias("hash")).join(touched, "path", "left_anti")
     rebuilt = build(kept.union(changed.select("path", "hash"))).filter("path <> ''")
     untouched = of_branch.join(branches, "branch", "left_anti").drop("branch")
     every = untouched.union(rebuilt)
     top = every.filter("parent_path = ''").agg(interior_hash(F.collect_list(F.struct(F.col("path").alias("segment"), F.col("merkle_hash").alias("hash")))).alias("merkle_hash"), F.count("*").alias("object_count"))
-    return every.union(top.select(F.lit("").alias("path"), F.lit(None).cast("string").alias("parent_path"), "merkle_hash", "object_count", F.lit(False).alias("is_leaf")))
+    none = F.lit(None).cast("string")
+    return every.union(top.filter("object_count > 0").select(F.lit("").alias("path"), none.alias("parent_path"), "merkle_hash", "object_count", F.lit(False).alias("is_leaf"), none.alias("own_hash")))
 
 
 def diff(ours: DataFrame, theirs: DataFrame) -> DataFrame:

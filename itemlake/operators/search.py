@@ -176,6 +176,6 @@ def distance(vector: Column, query: list[float], metric: str) -> Column:
 
 
 def nearest(items: DataFrame, query: list[float], k: int, metric: str = "l2", where: Query = ALL, vector: str = "vector") -> DataFrame:
-    """The k nearest items among those that match, ties by id."""
-    scored = items.filter(where.column()).select("object_id", F.round(distance(F.col(vector), query, metric), 6).alias("vector_score"))
+    """The k nearest items among those that match, by the whole distance, ties by id."""
+    scored = items.filter(where.column()).select("object_id", distance(F.col(vector), query, metric).alias("vector_score"))
     return scored.orderBy("vector_score", "object_id").limit(k)

@@ -14,7 +14,11 @@ def latest(log: DataFrame, *keys: str, order: str = "seq") -> DataFrame:
 
 
 def upsert(base: DataFrame, changes: DataFrame) -> DataFrame:
-    """base with the changes' rows in place of those of their ids; dirty if new, or the hash or version differs."""
+    """base with the changes' rows in place of those of their ids; dirty if new, or the hash or version differs.
+
+    Of several changes of an id the last by `seq` counts, or without that column the one of the highest version.
+    """
+    changes = latest(changes, "object_id", order="seq" if "seq" in changes.columns else "version")
     old = base.select("object_id", F.struct(*[c for c in base.columns if c != "object_id"]).alias("old"))
     new = changes.select("object_id", F.struct(*[c for c in changes.columns if c != "object_id"]).alias("new"))
     both = old.join(new, "object_id", "full")
@@ -59,7 +63,7 @@ def scan_oldest(items: DataFrame, limit: int) -> DataFrame:
 
 def exists(items: DataFrame, ids: DataFrame) -> DataFrame:
     """ids with `found`."""
-    return ids.join(items.select("object_id", F.lit(True).alias("found")), "object_id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    return ids.join(items.select("object_id", F.lit(True).alias("found")).distinct(), "object_id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
 def missing(items: DataFrame, ids: DataFrame) -> DataFrame:
@@ -68,8 +72,9 @@ def missing(items: DataFrame, ids: DataFrame) -> DataFrame:
 
 def is_current(items: DataFrame, known: DataFrame) -> DataFrame:
     """known (object_id, known_hash) with `current`."""
-    joined = known.join(items.select("object_id", "content_hash"), "object_id", "left")
-    return joined.select("object_id", F.coalesce(F.col("known_hash") == F.col("content_hash"), F.lit(False)).alias("current"))
+    held = items.select("object_id", F.col("content_hash").alias("known_hash"), F.lit(True).alias("held")).distinct()
+    joined = known.join(held, ["object_id", "known_hash"], "left")
+    return joined.select("object_id", F.coalesce("held", F.lit(False)).alias("current"))
 
 
 def status(hot: DataFrame, archive: DataFrame) -> DataFrame:
@@ -78,6 +83,43 @@ def status(hot: DataFrame, archive: DataFrame) -> DataFrame:
     return sides[0].join(sides[1], "object_id", "full").select("object_id", F.coalesce("in_hot", F.lit(False)).alias("in_hot"), F.coalesce("in_archive", F.lit(False)).alias("in_archive"))
 
 
+def in_state(items: DataFrame, state: str) -> DataFrame:
+    return items.filter(F.col("state") == state)
+
+
+def state_counts(items: DataFrame) -> DataFrame:
+    return items.groupBy("state").agg(F.count("*").alias("n"))
+
+
+def prefix_counts(items: DataFrame, segments: int) -> DataFrame:
+    """Items by the first so many segments of their ids."""
+    return items.groupBy(F.substring_index("object_id", ".", segments).alias("prefix")).agg(F.count("*").alias("n"))
+
+
+def dirty(items: DataFrame, limit: int | None = None) -> DataFrame:
+    """Rows whose hash tree entry is out of date, by id if limited."""
+    found = items.filter("merkle_dirty")
+    return found if limit is None else found.orderBy("object_id").limit(limit)
+
+
+def mark_clean(items: DataFrame, ids: DataFrame) -> DataFrame:
+    """items with the dirty flag of these ids taken away."""
+    joined = items.join(ids.select("object_id", F.lit(True).alias("_cleaned")).distinct(), "object_id", "left")
+    return joined.withColumn("merkle_dirty", F.col("merkle_dirty") & F.col("_cleaned").isNull()).drop("_cleaned").select(*items.columns)
+
+
+def get_or_insert(items: DataFrame, asked: DataFrame) -> DataFrame:
+    """items with those asked-for rows (of the same columns) whose ids it lacks."""
+    return items.unionByName(latest(asked, "object_id", order="version").join(items, "object_id", "left_anti"))
+
+
+def tiered(hot: DataFrame, archive: DataFrame, now: Column) -> DataFrame:
+    """Each id from the first tier that has it: hot rows (with expires_at, null for never) before they expire, else the archive's; tier tells which."""
+    live = hot.filter(F.col("expires_at").isNull() | (F.col("expires_at") > now)).drop("expires_at")
+    rest = archive.join(live.select("object_id"), "object_id", "left_anti")
+    return live.withColumn("tier", F.lit("hot")).unionByName(rest.withColumn("tier", F.lit("archive")))
+
+
 def route(key: Column, prefixes: dict[str, str], default: str = "sync_items") -> Column:
     """The route of the longest prefix that a key has."""
     out = F

@@ -95,11 +95,11 @@ def search_glob_grep(spark, sf_dir):
 
 def _nearest(name: str, metric: str, sql: str, where: search.Query = search.ALL, filter_sql: str = "true") -> None:
     v, q = "CAST(embedding AS DOUBLE[])", "(SELECT CAST(embedding AS DOUBLE[]) FROM embeddings ORDER BY vec_id LIMIT 1)"
-    text = f"SELECT 'vec:' || label || ':' || vec_id AS object_id, round({sql.format(v=v, q=q)}, 6) + 0.0 AS vector_score FROM embeddings WHERE {filter_sql} ORDER BY vector_score, object_id LIMIT 10"
+    text = f"SELECT object_id, round(d, 6) + 0.0 AS vector_score FROM (SELECT 'vec:' || label || ':' || vec_id AS object_id, {sql.format(v=v, q=q)} AS d FROM embeddings WHERE {filter_sql} ORDER BY d, object_id LIMIT 10)"
 
     def run(spark, sf_dir):
         first = table(spark, sf_dir, "embeddings").orderBy("vec_id").select("embedding").first()
-        return search.nearest(vec_items(spark, sf_dir), first.embedding, 10, metric, where)
+        return search.nearest(vec_items(spark, sf_dir), first.embedding, 10, metric, where).withColumn("vector_score", F.round("vector_score", 6))
 
     query(text, name)(run)
 
@@ -147,22 +147,22 @@ def scan_oldest(spark, sf_dir):
 
 @query(GEO + "SELECT object_id, version, sha256(payload) AS content_hash FROM g WHERE state = 'building'")
 def state_items(spark, sf_dir):
-    return geo_items(spark, sf_dir).filter(F.col("state") == "building").select("object_id", "version", "content_hash")
+    return store.in_state(geo_items(spark, sf_dir), "building").select("object_id", "version", "content_hash")
 
 
 @query(GEO + "SELECT state, count(*) AS n FROM g GROUP BY state")
 def state_counts(spark, sf_dir):
-    return geo_items(spark, sf_dir).groupBy("state").agg(F.count("*").alias("n"))
+    return store.state_counts(geo_items(spark, sf_dir))
 
 
 @query("SELECT 'conv.' || conv_id || '.' || turn AS object_id FROM conversations WHERE role = 'user'")
 def state_ids(spark, sf_dir):
-    return turns(spark, sf_dir).filter(F.col("state") == "user").select("object_id")
+    return store.in_state(turns(spark, sf_dir), "user").select("object_id")
 
 
 @query(GEO + "SELECT regexp_extract(object_id, '^[^.]*[.][^.]*[.][^.]*') AS prefix, count(*) AS n FROM g GROUP BY 1")
 def count_prefix(spark, sf_dir):
-    return geo_items(spark, sf_dir).groupBy(F.substring_index("object_id", ".", 3).alias("prefix")).agg(F.count("*").alias("n"))
+    return store.prefix_counts(geo_items(spark, sf_dir), 3)
 
 
 @query("SELECT 'page.' || page_id AS object_id, 'binary' AS content_type FROM pages UNION ALL SELECT 'event.' || event_id, CASE WHEN props IS NULL THEN 'binary' ELSE 'json' END FROM events UNION ALL SELECT 'doc.' || doc_id, CASE WHEN substr(ltrim(text), 1, 1) IN ('{', '[', '\"') AND json_valid(text) THEN 'json' ELSE 'binary' END FROM documents")
@@ -387,9 +387,46 @@ def merkle_update(spark, sf_dir):
     return merkle.update(merkle.build(ours), changed, deleted).select("path", "merkle_hash", "object_count")
 
 
-@query("SELECT DISTINCT 'conv' AS prefix FROM conversations")
+@query("SELECT DISTINCT 'user' || (user_id % 50) AS prefix FROM events WHERE event_type = 'click'")
 def dirty_prefixes(spark, sf_dir):
-    return merkle.dirty_prefixes(turns(spark, sf_dir).withColumn("merkle_dirty", F.lit(True)))
+    e = table(spark, sf_dir, "events")
+    key = F.concat(F.lit("user"), (F.col("user_id") % 50).cast("string"), F.lit("."), F.col("event_id").cast("string"))
+    return merkle.dirty_prefixes(e.select(key.alias("object_id"), (F.col("event_type") == "click").alias("merkle_dirty")))
+
+
+DIRTY = GEO + ", f AS (SELECT *, c_custkey % 7 = 0 AS merkle_dirty FROM g) "
+
+
+def _flagged(spark, sf_dir):
+    return geo_items(spark, sf_dir).withColumn("merkle_dirty", F.substring_index("object_id", ".", -1).try_cast("long") % 7 == 0)
+
+
+@query(DIRTY + "SELECT object_id, version FROM f WHERE merkle_dirty ORDER BY object_id LIMIT 100")
+def dirty_scan(spark, sf_dir):
+    return store.dirty(_flagged(spark, sf_dir), 100).select("object_id", "version")
+
+
+@query(DIRTY + "SELECT object_id, merkle_dirty AND state <> 'building' AS merkle_dirty FROM f")
+def mark_clean(spark, sf_dir):
+    f = _flagged(spark, sf_dir)
+    return store.mark_clean(f, store.in_state(f, "building").select("object_id")).select("object_id", "merkle_dirty")
+
+
+@query("""WITH h AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id)
+SELECT 'crdt:docs:' || coalesce(h.doc_id, d.doc_id) AS object_id, CASE WHEN h.doc_id IS NULL THEN 'archive' ELSE 'hot' END AS tier
+FROM (SELECT * FROM h WHERE quality IS NULL OR doc_id % 4 > 1) h FULL JOIN documents d USING (doc_id)""")
+def tiered_get(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    key = F.concat(F.lit("crdt:docs:"), F.col("doc_id").cast("string")).alias("object_id")
+    hot = labels.select(key, F.when(F.col("quality").isNotNull(), F.col("doc_id") % 4).alias("expires_at"))
+    return store.tiered(hot, doc_items(spark, sf_dir).select("object_id"), F.lit(1)).select("object_id", "tier")
+
+
+@query("SELECT 'crdt:docs:' || doc_id AS object_id, 'old' AS origin FROM documents UNION ALL SELECT 'crdt:docs:' || (event_id * 2), 'new' FROM events WHERE event_id * 2 NOT IN (SELECT doc_id FROM documents)")
+def get_or_insert(spark, sf_dir):
+    held = doc_items(spark, sf_dir).select("object_id", "version", F.lit("old").alias("origin"))
+    asked = _asked(spark, sf_dir).select("object_id", F.lit(1).cast("long").alias("version"), F.lit("new").alias("origin"))
+    return store.get_or_insert(held, asked).select("object_id", "origin")
 
 
 @query(GEO + """, b AS (SELECT regexp_extract(object_id, '^crm[.][^.]*') AS branch, c_custkey % 1000 = 999 AS dirty FROM g) SELECT branch FROM b GROUP BY branch HAVING NOT bool_or(dirty)""")
@@ -437,9 +474,10 @@ def evict_score(spark, sf_dir):
     return _scored(spark, sf_dir)
 
 
-@query(SCORES + "SELECT l_orderkey, l_linenumber FROM s ORDER BY round(score, 6), l_orderkey, l_linenumber LIMIT 200")
+@query(SCORES + "SELECT l_orderkey, l_linenumber FROM s WHERE l_linenumber <> 3 ORDER BY round(score, 6), l_orderkey, l_linenumber LIMIT 200")
 def evict_victims(spark, sf_dir):
-    return _scored(spark, sf_dir).orderBy("score", "l_orderkey", "l_linenumber").limit(200).select("l_orderkey", "l_linenumber")
+    entries = _scored(spark, sf_dir).withColumn("key", F.struct("l_orderkey", "l_linenumber")).withColumn("dirty", F.col("l_linenumber") == 3)
+    return policy.victims(entries, F.col("score"), 200).select("l_orderkey", "l_linenumber")
 
 
 @query(f"""WITH p AS (SELECT l_orderkey, l_linenumber, {USED} AS u FROM lineitem), q AS (SELECT *, CASE WHEN u < 0.7 THEN 'normal' WHEN u < 0.8 THEN 'warn' WHEN u < 0.9 THEN 'throttle' WHEN u < 0.95 THEN 'critical' WHEN u < 0.98 THEN 'emergency' ELSE 'shutdown' END AS level FROM p)

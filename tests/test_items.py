@@ -13,26 +13,48 @@ def ids(df, col="object_id"):
     return sorted(r[0] for r in df.select(col).collect())
 
 
-USERS = [
-    ("crdt:users:alice", '{"name":"Alice Smith","age":28,"roles":["admin","developer"]}'),
-    ("crdt:users:bob", '{"name":"Bob Jones","age":35,"roles":["developer"]}'),
-    ("crdt:users:carol", '{"name":"Carol White","age":42,"roles":["manager"],"age_text":"42"}'),
-    ("crdt:users:eve", '{"name":"Eve Davis","roles":"admin"}'),
-    ("crdt:users:none", None),
+TOOLS = [
+    ("shop:tools:1", '{"label":"Red Hammer","weight":3,"uses":["nails","wood"]}'),
+    ("shop:tools:2", '{"label":"Long Saw","weight":11,"uses":["wood"]}'),
+    ("shop:tools:3", '{"label":"Iron Vice","weight":19,"uses":["metal"],"weight_text":"19"}'),
+    ("shop:tools:4", '{"label":"Tape","uses":"nails"}'),
+    ("shop:tools:5", None),
 ]
 
 
 def test_search(spark):
-    users = spark.createDataFrame(USERS, "object_id string, payload string")
-    assert ids(search.search(users, search.text_eq("name", "Alice Smith"))) == ["crdt:users:alice"]
-    assert ids(search.search(users, search.between("age", 30, 45))) == ["crdt:users:bob", "crdt:users:carol"]
-    assert ids(search.search(users, search.tags("roles", "admin"))) == ["crdt:users:alice", "crdt:users:eve"]
-    assert ids(search.search(users, search.tags("roles", "developer") & search.between("age", 30))) == ["crdt:users:bob"]
-    assert ids(search.search(users, search.numeric_eq("age_text", 42))) == []
-    assert ids(search.search(users, ~search.between("age", 30, 45))) == ["crdt:users:alice"]
-    assert "crdt:users:eve" in ids(search.search(users, ~search.between("age", 30, 45), search.Dialect(hot=True)))
-    assert ids(search.search(users, search.text_eq("name", "smith ALICE"), search.Dialect(hot=True))) == ["crdt:users:alice"]
-    assert ids(search.search(users, search.ALL, limit=2)) == ["crdt:users:alice", "crdt:users:bob"]
+    tools = spark.createDataFrame(TOOLS, "object_id string, payload string")
+    found = lambda *a: [i[-1] for i in ids(search.search(tools, *a))]
+    assert found(search.text_eq("label", "Red Hammer")) == ["1"]
+    assert found(search.between("weight", 10, 20)) == ["2", "3"]
+    assert found(search.tags("uses", "nails")) == ["1", "4"]
+    assert found(search.tags("uses", "wood") & search.between("weight", 10)) == ["2"]
+    assert found(search.numeric_eq("weight_text", 19)) == []
+    assert found(~search.between("weight", 10, 20)) == ["1"]
+    assert "4" in found(~search.between("weight", 10, 20), search.Dialect(hot=True))
+    assert found(search.text_eq("label", "hammer RED"), search.Dialect(hot=True)) == ["1"]
+    assert ids(search.search(tools, search.ALL, limit=2)) == ["shop:tools:1", "shop:tools:2"]
+
+
+def test_nearest_goes_by_the_whole_distance(spark):
+    items = spark.createDataFrame([("a", "{}", [1.0000003, 0.0]), ("z", "{}", [1.0, 0.0])], "object_id string, payload string, vector array<double>")
+    assert [r.object_id for r in search.nearest(items, [1.0, 0.0], 1).collect()] == ["z"]
+
+
+def test_upsert_takes_the_last_of_several_changes(spark):
+    base = spark.createDataFrame([("a", 1, "x")], "object_id string, version long, content_hash string")
+    new = spark.createDataFrame([("a", 2, "y"), ("a", 3, "z"), ("b", 1, "x")], "object_id string, version long, content_hash string")
+    assert sorted(tuple(r) for r in store.upsert(base, new).collect()) == [("a", 3, "z", True), ("b", 1, "x", True)]
+
+
+def test_update_equals_build_where_an_id_has_children(spark):
+    leaf = lambda rows: spark.createDataFrame(rows, "path string, hash string")
+    rows = [("a", "aa"), ("a.b", "bb"), ("c.d", "cc")]
+    deleted = leaf([("a.b", "")]).select("path")
+    got = merkle.update(merkle.build(leaf(rows)), leaf([]), deleted)
+    assert sorted(got.collect()) == sorted(merkle.build(leaf([rows[0], rows[2]])).collect())
+    gone = merkle.update(merkle.build(leaf(rows)), leaf([]), leaf(rows).select("path"))
+    assert gone.count() == merkle.build(leaf([])).count() == 0
 
 
 def test_nearest_breaks_ties_by_id(spark):
@@ -68,8 +90,8 @@ def test_routes_and_paths(spark):
     routes = {"view:": "v", "view:users:": "users"}
     df = spark.createDataFrame([("view:users:1",), ("view:x",), ("misc",)], "k string")
     assert [r[0] for r in df.select(store.route(F.col("k"), routes)).collect()] == ["users", "v", "sync_items"]
-    one = spark.createDataFrame([("uk.nhs.patient",)], "p string").select(paths.ancestors(F.col("p")), paths.parent(F.col("p")), paths.last_segment(F.col("p"))).first()
-    assert tuple(one) == (["uk", "uk.nhs", "uk.nhs.patient"], "uk.nhs", "patient")
+    one = spark.createDataFrame([("farm.barn.cow",)], "p string").select(paths.ancestors(F.col("p")), paths.parent(F.col("p")), paths.last_segment(F.col("p"))).first()
+    assert tuple(one) == (["farm", "farm.barn", "farm.barn.cow"], "farm.barn", "cow")
 
 
 def test_policy_bounds(spark):
