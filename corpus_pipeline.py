@@ -12,15 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from itemlake.llm import bpe, decontaminate, linededup, neardup, toxicity
-from itemlake.llm.common import table, written
+from itemlake.llm.common import apart, table, written
 from itemlake.llm.queries import TOXIC
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that do not score as toxic; the model learns from the labels outside the held-out fold."""
     labels = table(spark, sf_dir, "labels").filter(~toxicity.held_out(F.col("doc_id")))
-    scored = toxicity.score(docs, toxicity.train(docs, labels), out="_score")
-    return scored.filter(F.col("_score") < TOXIC).drop("_score")
+    out = apart(docs, "score")
+    scored = toxicity.score(docs, toxicity.train(docs, labels), out=out)
+    return scored.filter(F.col(out) < TOXIC).drop(out)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +37,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text"))
     found = neardup.near_duplicates(docs.select(row.alias("doc_id"), "text")).filter(F.col("id") != F.col("component"))
-    gone = found.select(F.col("id.doc_id").alias("_id"), F.col("id.text").alias("_text")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_text")), "left_anti")
+    one, text = apart(docs, "id"), apart(docs, "text_hash")
+    gone = found.select(F.col("id.doc_id").alias(one), F.col("id.text").alias(text)).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(one)) & (F.xxhash64("text") == F.col(text)), "left_anti")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
