@@ -1,21 +1,31 @@
 """Document scores by a masked language model: pseudo-likelihood from both sides.
 
 Words (lower case, by white space) become VOCAB tokens: the corpus' TOP most
-frequent words, counted over all documents, and hash buckets for the others. A
-network predicts each token from the window around it, itself masked: the
-embeddings of REACH tokens on either side, one table for each place, are added
-to a hidden layer, whose tanh feeds a softmax in two steps, the token's class
-and the token in its class, so that probabilities are exact at the cost of two
-short softmaxes. A document's score is the sum of its tokens' log-probabilities.
+frequent words, and hash buckets for the others. A network predicts each token
+from the window around it, itself masked: the embeddings of REACH tokens on
+either side, one table for each place, are added to a hidden layer, whose tanh
+feeds a softmax in two steps, the token's class and the token in its class, so
+that probabilities are exact at the cost of two short softmaxes. A word in a
+bucket has its bucket's probability times its share of the bucket, n of N + 1
+occurrences over all documents; a word that the corpus lacks counts as the one
+left over. So the vocabulary is every word of the corpus, and grows with it;
+what is of fixed size is the network that weighs contexts. A document's score
+is the sum of its words' log-probabilities.
+
+Shares of the next HEAD words are looked up where texts are scored. Words
+beyond those are joined to their counts in Spark, by text, so that copies of a
+text cost one lookup; no count is left out (the log of a count of one is 0).
 
 Training is data-parallel over all documents, half of them in each of two
 rounds: every partition runs Adagrad in numpy from the round's start over its
 documents, and the weights are averaged, weighted by tokens, with Spark's sums
-over (place, value) chunks. The driver holds one model, of a fixed size.
+over (place, value) chunks. The driver holds one model, of a fixed size. As
+each partition trains alone, the weights depend on how rows are partitioned.
 
 Null and empty texts, and texts of white space, have no tokens: sum 0, mean
 null. Rows map one to one; other columns stay and an output column of the same
-name is replaced. An empty corpus gives an untrained model.
+name is replaced. An empty corpus gives an untrained model. Texts are told
+apart by two 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -23,13 +33,14 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from itemlake.llm.common import small_batches
+from itemlake.llm.common import apart, small_batches, written
 
 TOP, BUCKETS = 768, 255
 VOCAB = TOP + BUCKETS + 1  # and one token beyond the ends of a text
@@ -39,6 +50,9 @@ BATCH = 4096  # tokens
 RATE = 0.1
 HELD = 1 << 18  # words that a task counts at once
 CHUNK = 1 << 12  # weights of a row
+HEAD = 1 << 16  # words whose shares each task holds, at most WORD bytes each
+WORD = 64
+SALTS = 16  # parts of the rows of a hot text
 
 SHAPES = {"around": (2 * REACH, VOCAB, DIM), "hidden": (DIM,), "classes": (DIM, SIDE), "class_bias": (SIDE,), "inner": (SIDE, DIM, SIDE), "inner_bias": (SIDE, SIDE)}
 
@@ -54,7 +68,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
         for batch in batches:
             for t in batch.column(0):
-                seen.update((t.as_py() or "").lower().encode("utf-8", "surrogatepass").split())
+                seen.update(words_of(t.as_py()))
             if len(seen) > HELD:
                 yield out()
                 seen.clear()
@@ -65,18 +79,42 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 class Vocabulary(dict):
-    """Token of a word: its rank among the frequent ones, or a bucket."""
+    """Token of a word: its rank among the frequent ones, or a bucket; and what a word's share of its token is.
+
+    shares holds the log of n for the next frequent words, totals the log of each bucket's N + 1.
+    """
+
+    def __init__(self, top: list[bytes], shares: dict[bytes, float], totals: np.ndarray):
+        super().__init__((w, i) for i, w in enumerate(top))
+        self.shares, self.totals = shares, totals
+
+    def __reduce__(self):
+        return Vocabulary, (list(self), self.shares, self.totals)
 
     def __missing__(self, word: bytes) -> int:
         return TOP + zlib.crc32(word) % BUCKETS
 
 
-def tokens(vocabulary: Vocabulary, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of all texts, each with REACH ends before and after, and which are words."""
+@dataclass(frozen=True)
+class Model:
+    """What training gives; counts (word, n) has every word of the corpus that occurs more than once and is in neither table."""
+
+    vocabulary: Vocabulary
+    weights: dict[str, np.ndarray]
+    counts: DataFrame
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").lower().encode("utf-8", "surrogatepass").split()
+
+
+def tokens(vocabulary: Vocabulary, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of all texts' words, each with REACH ends before and after, and which are words."""
     edge, out, real = [VOCAB - 1] * REACH, [], []
-    for text in texts:
-        words = list(map(vocabulary.__getitem__, (text or "").lower().encode("utf-8", "surrogatepass").split()))
-        out += edge + words + edge
+    for words in texts:
+        out += edge
+        out += map(vocabulary.__getitem__, words)
+        out += edge
         real += [False] * REACH + [True] * len(words) + [False] * REACH
     return np.array(out, dtype=np.int32), np.array(real, dtype=bool)
 
@@ -149,7 +187,7 @@ def _trainer(shared):
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for i in range(0, len(texts), 64):
-                token, real = tokens(vocabulary, texts[i : i + 64])
+                token, real = tokens(vocabulary, list(map(words_of, texts[i : i + 64])))
                 at = np.flatnonzero(real)
                 for j in range(0, len(at), BATCH):
                     train_step(model, squares, token, at[j : j + BATCH])
@@ -162,9 +200,26 @@ def _trainer(shared):
     return run
 
 
-def train(docs: DataFrame, text: str = "text", rounds: int = 2) -> tuple[Vocabulary, dict[str, np.ndarray]]:
-    top = word_counts(docs, text).orderBy(F.desc("n"), "word").limit(TOP).collect()
-    vocabulary, model = Vocabulary((bytes(r.word), i) for i, r in enumerate(top)), initial()
+def vocabulary_of(counts: DataFrame) -> tuple[Vocabulary, DataFrame]:
+    """The vocabulary of counts (word, n), and the counts that it does not hold and that differ from one."""
+    held = counts.filter(F.length("word") <= WORD).orderBy(F.desc("n"), "word").limit(TOP + HEAD).toArrow()  # TOP + HEAD short words
+    words, n = held["word"].to_pylist(), held["n"].to_pylist()
+    totals = np.ones(BUCKETS)
+    for row in counts.groupBy((F.crc32("word") % BUCKETS).alias("bucket")).agg(F.sum("n").alias("n")).collect():  # BUCKETS rows
+        totals[row.bucket] += row.n
+    for word, times in zip(words[:TOP], n):
+        totals[zlib.crc32(word) % BUCKETS] -= times
+    shares = {word: float(np.log(times)) for word, times in zip(words[TOP:], n[TOP:])}
+    beyond = counts.filter("n > 1")
+    if words:  # the held words come before all other short ones by n, then by word
+        later = (F.col("n") < n[-1]) | ((F.col("n") == n[-1]) & (F.col("word") > F.lit(bytearray(words[-1]))))
+        beyond = beyond.filter((F.length("word") > WORD) | later)
+    return Vocabulary(words[:TOP], shares, np.log(totals)), beyond
+
+
+def train(docs: DataFrame, text: str = "text", rounds: int = 2) -> Model:
+    vocabulary, counts = vocabulary_of(written(word_counts(docs, text), "words"))
+    model = initial()
     for k in range(rounds):
         shared = docs.sparkSession.sparkContext.broadcast((vocabulary, model))
         share = docs.select(F.col(text)).filter(F.pmod(F.xxhash64(text), F.lit(rounds)) == k)
@@ -175,30 +230,49 @@ def train(docs: DataFrame, text: str = "text", rounds: int = 2) -> tuple[Vocabul
             flat = rows["w"].to_numpy()[np.lexsort((rows["i"].to_numpy(), rows["chunk"].to_numpy()))].astype(np.float32)
             cuts = np.cumsum([0, *(int(np.prod(s)) for s in SHAPES.values())])
             model = {name: flat[a:b].reshape(shape) for (name, shape), a, b in zip(SHAPES.items(), cuts, cuts[1:])}
-    return vocabulary, model
-
+        shared.unpersist()
+    return Model(vocabulary, model, counts)
 
-def score(docs: DataFrame, vocabulary: Vocabulary, model: dict[str, np.ndarray], text: str = "text") -> DataFrame:
-    """docs with n_words, log_likelihood (the sum) and mean_log_likelihood."""
-    small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, model))
 
-    @F.arrow_udf("struct<n:bigint,total:double>")
+def _scorer(shared):
+    @F.arrow_udf("struct<n:bigint,total:double,rare:array<binary>>")
     def scores(texts: pa.Array) -> pa.Array:
-        own, net = shared.value
-        texts, n, total = texts.to_pylist(), [], []
+        vocabulary, net = shared.value
+        texts, n, total, rare = texts.to_pylist(), [], [], []
         for i in range(0, len(texts), 64):
-            some = texts[i : i + 64]
-            token, real = tokens(own, some)
+            some = list(map(words_of, texts[i : i + 64]))
+            token, real = tokens(vocabulary, some)
             at = np.flatnonzero(real)
-            found = np.concatenate([[0.0], np.cumsum(log_probabilities(net, token, at))])
-            # words of each text: what lies between the ends around it
-            words = np.array([len((t or "").lower().encode("utf-8", "surrogatepass").split()) for t in some])
-            ends = np.cumsum(words)
-            n += words.tolist()
-            total += (found[ends] - found[ends - words]).tolist()
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(total, pa.float64())], ["n", "total"])
-
-    scored = docs.withColumn("_scores", scores(F.col(text)))
-    mean = F.when(F.col("_scores.n") > 0, F.col("_scores.total") / F.col("_scores.n"))
-    return scored.withColumns({"n_words": F.col("_scores.n"), "log_likelihood": F.col("_scores.total"), "mean_log_likelihood": mean}).drop("_scores")
+            known = log_probabilities(net, token, at)
+            bucket = token[at] - TOP
+            known -= np.where(bucket >= 0, vocabulary.totals[np.maximum(bucket, 0)], 0.0)
+            found = np.concatenate([[0.0], np.cumsum(known)])
+            sizes = np.array([len(words) for words in some])
+            ends = np.cumsum(sizes)
+            for words in some:
+                others = [w for w in words if w not in vocabulary]
+                held = list(map(vocabulary.shares.get, others))
+                rare.append([w for w, x in zip(others, held) if x is None])
+                total.append(sum(x for x in held if x is not None))
+            n += sizes.tolist()
+            total[-len(some) :] = (found[ends] - found[ends - sizes] + total[-len(some) :]).tolist()
+        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array(rare, pa.list_(pa.binary()))], ["n", "total", "rare"])
+
+    return scores
+
+
+def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """docs with n_words, log_likelihood (the sum) and mean_log_likelihood."""
+    small_batches(docs.sparkSession)
+    scores = _scorer(docs.sparkSession.sparkContext.broadcast((model.vocabulary, model.weights)))
+    first, second = F.xxhash64(text), F.xxhash64(F.lit(1), text)
+    scored = written(docs.select(first.alias("a"), second.alias("b"), scores(F.col(text)).alias("s")).select("a", "b", "s.*"), "scored")
+    once = scored.groupBy("a", "b").agg(F.any_value("n").alias("n"), F.any_value("total").alias("total"), F.any_value("rare").alias("rare"))
+    shares = once.select("a", "b", F.explode("rare").alias("word")).join(model.counts, "word").groupBy("a", "b").agg(F.sum(F.ln("n")).alias("more"))
+    total = F.col("total") + F.coalesce("more", F.lit(0.0))
+    mean = F.when(F.col("n") > 0, total / F.col("n"))
+    found = once.drop("rare").join(shares, ["a", "b"], "left").select("a", "b", F.col("n").alias("n_words"), total.alias("log_likelihood"), mean.alias("mean_log_likelihood"))
+    a, b, salt = (apart(docs, name) for name in ("text_a", "text_b", "text_salt"))
+    found = found.withColumnsRenamed({"a": a, "b": b}).withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    keyed = docs.withColumns({a: first, b: second, salt: F.spark_partition_id() % SALTS}).drop("n_words", "log_likelihood", "mean_log_likelihood")
+    return keyed.join(found, [a, b, salt], "left").drop(a, b, salt)

@@ -82,7 +82,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document its words and their masked log-likelihood, in sum and on average."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lm.score(docs, *lm.train(docs)).drop("text")
+    return lm.score(docs, lm.train(docs)).drop("text")
 
 
 def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -322,12 +324,38 @@ def test_toxicity_learns_and_reaches_misspellings(spark):
 def test_language_model_prefers_its_corpus(spark):
     cycle = [" ".join(VOCAB[(i + j) % 40] for j in range(60)) for i in range(300)]
     docs = docs_of(spark, [*cycle, None, "", " "])
-    vocabulary, model = lm.train(docs)
+    model = lm.train(docs)
     shuffled = [" ".join(rnd.sample(t.split(), 60)) for t in cycle[:30]]
-    got = {r.doc_id: r for r in lm.score(docs_of(spark, [*cycle[:30], *shuffled, None, ""]), vocabulary, model).collect()}
+    got = {r.doc_id: r for r in lm.score(docs_of(spark, [*cycle[:30], *shuffled, None, ""]), model).collect()}
     assert np.mean([got[i].mean_log_likelihood for i in range(30)]) > np.mean([got[i].mean_log_likelihood for i in range(30, 60)]) + 0.1
     assert got[60].n_words == 0 and got[60].log_likelihood == 0 and got[61].mean_log_likelihood is None
-    assert lm.score(empty(spark), *lm.train(empty(spark))).count() == 0
+    assert lm.score(empty(spark), lm.train(empty(spark))).count() == 0
+
+
+@pytest.mark.parametrize("head", [0, 100, 1 << 16])
+def test_language_model_scores_every_word_by_its_share(spark, monkeypatch, head):
+    monkeypatch.setattr(lm, "HEAD", head)
+    words = [f"w{i}" for i in range(2000)] + ["x" * 100]
+    texts = [" ".join(rnd.choices(words, weights=[1 / (i + 1) for i in range(len(words))], k=80)) for _ in range(60)] + [" ".join(words[-50:] * 2)]
+    docs = docs_of(spark, [*texts, texts[0]]).withColumn("text_a", F.lit(1)).withColumn("n_words", F.lit("x"))
+    model = lm.train(docs)
+    n = Counter(w for t in [*texts, texts[0], texts[0]] for w in t.split())
+    top = sorted((w for w in n if len(w) <= lm.WORD), key=lambda w: (-n[w], w))[: lm.TOP]
+    assert [w.decode() for w in model.vocabulary] == top
+    buckets = Counter()
+    for w in set(n) - set(top):
+        buckets[zlib.crc32(w.encode()) % lm.BUCKETS] += n[w]
+    asked = [*texts, texts[0], "never seen"]
+    got = {r.doc_id: r for r in lm.score(docs_of(spark, asked), model).collect()}
+    assert len(got) == len(asked)
+    for i, t in enumerate(asked):
+        token, real = lm.tokens(model.vocabulary, [lm.words_of(t)])
+        want = lm.log_probabilities(model.weights, token, np.flatnonzero(real)).sum()
+        want += sum(np.log((n[w] or 1) / (buckets[zlib.crc32(w.encode()) % lm.BUCKETS] + 1)) for w in t.split() if w not in set(top))
+        assert got[i].n_words == len(t.split()) and abs(got[i].log_likelihood - want) < 1e-3
+    again = lm.score(docs, model)
+    assert again.columns == ["doc_id", "text", "value", "text_a", "n_words", "log_likelihood", "mean_log_likelihood"]
+    assert again.count() == len(texts) + 2 and again.filter("n_words is null or text_a <> 1").count() == 0
 
 
 def test_language_model_probabilities_sum_to_one():
