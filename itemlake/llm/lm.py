@@ -34,6 +34,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -79,20 +80,24 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 class Vocabulary(dict):
-    """Token of a word: its rank among the frequent ones, or a bucket; and what a word's share of its token is.
+    """Places of the frequent words; of any other word -1 - its bucket.
 
-    shares holds the log of n for the next frequent words, totals the log of each bucket's N + 1.
+    token and share go by place: the word's token, and the log of its share of
+    that. totals holds the log of each bucket's N + 1.
     """
 
-    def __init__(self, top: list[bytes], shares: dict[bytes, float], totals: np.ndarray):
-        super().__init__((w, i) for i, w in enumerate(top))
-        self.shares, self.totals = shares, totals
+    def __init__(self, words: list[bytes], n: np.ndarray, totals: np.ndarray):
+        super().__init__((w, i) for i, w in enumerate(words))
+        bucket = np.array([zlib.crc32(w) % BUCKETS for w in words[TOP:]], dtype=np.int32)
+        self.n, self.totals = n, totals
+        self.token = np.concatenate([np.arange(min(TOP, len(words)), dtype=np.int32), TOP + bucket, [0]]).astype(np.int32)  # one more, so that it is never empty
+        self.share = np.concatenate([np.zeros(min(TOP, len(words))), np.log(n[TOP:]) - totals[bucket], [0.0]])
 
     def __reduce__(self):
-        return Vocabulary, (list(self), self.shares, self.totals)
+        return Vocabulary, (list(self), self.n, self.totals)
 
     def __missing__(self, word: bytes) -> int:
-        return TOP + zlib.crc32(word) % BUCKETS
+        return -1 - zlib.crc32(word) % BUCKETS
 
 
 @dataclass(frozen=True)
@@ -108,15 +113,13 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").split()
 
 
-def tokens(vocabulary: Vocabulary, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of all texts' words, each with REACH ends before and after, and which are words."""
-    edge, out, real = [VOCAB - 1] * REACH, [], []
-    for words in texts:
-        out += edge
-        out += map(vocabulary.__getitem__, words)
-        out += edge
-        real += [False] * REACH + [True] * len(words) + [False] * REACH
-    return np.array(out, dtype=np.int32), np.array(real, dtype=bool)
+def tokens(vocabulary: Vocabulary, words: list[bytes], sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of the words of texts of these sizes, each with REACH ends before and after; where the words are; the words' places."""
+    place = np.fromiter(map(vocabulary.__getitem__, words), np.int32, len(words))
+    at = np.arange(len(words)) + np.repeat(REACH * (1 + 2 * np.arange(len(sizes))), sizes)
+    token = np.full(len(words) + 2 * REACH * len(sizes), VOCAB - 1, dtype=np.int32)
+    token[at] = np.where(place >= 0, vocabulary.token[np.maximum(place, 0)], TOP - 1 - place)
+    return token, at, place
 
 
 def initial(seed: int = 11) -> dict[str, np.ndarray]:
@@ -187,8 +190,8 @@ def _trainer(shared):
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for i in range(0, len(texts), 64):
-                token, real = tokens(vocabulary, list(map(words_of, texts[i : i + 64])))
-                at = np.flatnonzero(real)
+                some = list(map(words_of, texts[i : i + 64]))
+                token, at, _ = tokens(vocabulary, list(chain.from_iterable(some)), list(map(len, some)))
                 for j in range(0, len(at), BATCH):
                     train_step(model, squares, token, at[j : j + BATCH])
                 n += len(at)
@@ -209,12 +212,11 @@ def vocabulary_of(counts: DataFrame) -> tuple[Vocabulary, DataFrame]:
         totals[row.bucket] += row.n
     for word, times in zip(words[:TOP], n):
         totals[zlib.crc32(word) % BUCKETS] -= times
-    shares = {word: float(np.log(times)) for word, times in zip(words[TOP:], n[TOP:])}
     beyond = counts.filter("n > 1")
     if words:  # the held words come before all other short ones by n, then by word
         later = (F.col("n") < n[-1]) | ((F.col("n") == n[-1]) & (F.col("word") > F.lit(bytearray(words[-1]))))
         beyond = beyond.filter((F.length("word") > WORD) | later)
-    return Vocabulary(words[:TOP], shares, np.log(totals)), beyond
+    return Vocabulary(words, np.array(n, dtype=np.float64), np.log(totals)), beyond
 
 
 def train(docs: DataFrame, text: str = "text", rounds: int = 2) -> Model:
@@ -241,21 +243,16 @@ def _scorer(shared):
         texts, n, total, rare = texts.to_pylist(), [], [], []
         for i in range(0, len(texts), 64):
             some = list(map(words_of, texts[i : i + 64]))
-            token, real = tokens(vocabulary, some)
-            at = np.flatnonzero(real)
-            known = log_probabilities(net, token, at)
-            bucket = token[at] - TOP
-            known -= np.where(bucket >= 0, vocabulary.totals[np.maximum(bucket, 0)], 0.0)
-            found = np.concatenate([[0.0], np.cumsum(known)])
-            sizes = np.array([len(words) for words in some])
-            ends = np.cumsum(sizes)
-            for words in some:
-                others = [w for w in words if w not in vocabulary]
-                held = list(map(vocabulary.shares.get, others))
-                rare.append([w for w, x in zip(others, held) if x is None])
-                total.append(sum(x for x in held if x is not None))
+            words, sizes = list(chain.from_iterable(some)), np.array(list(map(len, some)))
+            token, at, place = tokens(vocabulary, words, sizes)
+            other = np.flatnonzero(place < 0)
+            found = log_probabilities(net, token, at) + vocabulary.share[np.maximum(place, -1)]
+            found[other] -= vocabulary.totals[-1 - place[other]]  # the last share, which they got, is 0
+            found, ends = np.concatenate([[0.0], np.cumsum(found)]), np.cumsum(sizes)
             n += sizes.tolist()
-            total[-len(some) :] = (found[ends] - found[ends - sizes] + total[-len(some) :]).tolist()
+            total += (found[ends] - found[ends - sizes]).tolist()
+            cuts = np.searchsorted(other, [0, *ends]).tolist()
+            rare += [[words[j] for j in other[x:y]] for x, y in zip(cuts, cuts[1:])]
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array(rare, pa.list_(pa.binary()))], ["n", "total", "rare"])
 
     return scores

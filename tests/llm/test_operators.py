@@ -341,7 +341,7 @@ def test_language_model_scores_every_word_by_its_share(spark, monkeypatch, head)
     model = lm.train(docs)
     n = Counter(w for t in [*texts, texts[0], texts[0]] for w in t.split())
     top = sorted((w for w in n if len(w) <= lm.WORD), key=lambda w: (-n[w], w))[: lm.TOP]
-    assert [w.decode() for w in model.vocabulary] == top
+    assert [w.decode() for w in model.vocabulary][: lm.TOP] == top
     buckets = Counter()
     for w in set(n) - set(top):
         buckets[zlib.crc32(w.encode()) % lm.BUCKETS] += n[w]
@@ -349,8 +349,9 @@ def test_language_model_scores_every_word_by_its_share(spark, monkeypatch, head)
     got = {r.doc_id: r for r in lm.score(docs_of(spark, asked), model).collect()}
     assert len(got) == len(asked)
     for i, t in enumerate(asked):
-        token, real = lm.tokens(model.vocabulary, [lm.words_of(t)])
-        want = lm.log_probabilities(model.weights, token, np.flatnonzero(real)).sum()
+        plain = [top.index(w) if w in top else lm.TOP + zlib.crc32(w.encode()) % lm.BUCKETS for w in t.split()]
+        edge = [lm.VOCAB - 1] * lm.REACH
+        want = lm.log_probabilities(model.weights, np.array([*edge, *plain, *edge]), lm.REACH + np.arange(len(plain))).sum()
         want += sum(np.log((n[w] or 1) / (buckets[zlib.crc32(w.encode()) % lm.BUCKETS] + 1)) for w in t.split() if w not in set(top))
         assert got[i].n_words == len(t.split()) and abs(got[i].log_likelihood - want) < 1e-3
     again = lm.score(docs, model)
