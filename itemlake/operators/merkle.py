@@ -60,10 +60,35 @@ def diff(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     return a.join(b, "path", "full").filter(~F.col("a").eqNullSafe(F.col("b"))).select("path", kind.alias("kind"))
 
 
+def diff_children(ours: DataFrame, theirs: DataFrame, path: str) -> DataFrame:
+    """The children of one node that differ."""
+    return diff(*(n.filter(F.col("parent_path") == path) for n in (ours, theirs)))
+
+
 def drill_down(ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    """The leaves that differ or are missing on one side."""
-    leaf = [n.filter("is_leaf") for n in (ours, theirs)]
-    return diff(*leaf)
+    """(path, kind): the leaves that differ or are missing on one side, found level by level below unequal nodes alone."""
+    sides = [n.select("path", "parent_path", F.struct("merkle_hash", "is_leaf").alias(name)) for n, name in ((ours, "a"), (theirs, "b"))]
+    deepest = max(n.agg(F.max(F.size(segments(F.col("path"))))).first()[0] or 0 for n in (ours, theirs))
+    found, parents = [], None
+    for _ in range(deepest + 1):
+        a, b = (s.filter("parent_path is null") if parents is None else s.join(parents, "parent_path", "left_semi") for s in sides)
+        both = a.drop("parent_path").join(b.drop("parent_path"), "path", "full").filter(~F.col("a.merkle_hash").eqNullSafe(F.col("b.merkle_hash")))
+        unequal = written(both.select("path", F.coalesce("a.is_leaf", F.lit(False)).alias("ours"), F.coalesce("b.is_leaf", F.lit(False)).alias("theirs"), (F.coalesce(~F.col("a.is_leaf"), F.lit(False)) | F.coalesce(~F.col("b.is_leaf"), F.lit(False))).alias("inner")), "unequal")
+        found.append(unequal.filter("ours or theirs"))
+        parents = unequal.filter("inner").select(F.col("path").alias("parent_path"))
+    kind = F.when(F.col("ours") & F.col("theirs"), "divergent").when(F.col("ours"), "local_only").otherwise("remote_only")
+    return reduce(DataFrame.union, found).select("path", kind.alias("kind"))
+
+
+def resync(items: DataFrame, ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """The items to send for the other side to become like ours: those of leaves that differ or that it lacks."""
+    wanted = drill_down(ours, theirs).filter("kind <> 'remote_only'").select(F.col("path").alias("object_id"))
+    return items.join(wanted, "object_id", "left_semi")
+
+
+def roots(*trees: DataFrame) -> DataFrame:
+    """(tree, merkle_hash) of the roots, by the trees' order; an empty tree has none."""
+    return reduce(DataFrame.union, [t.filter("path = ''").select(F.lit(i).alias("tree"), "merkle_hash") for i, t in enumerate(trees)])
 
 
 def under(nodes: DataFrame, prefix: str) -> DataFrame:

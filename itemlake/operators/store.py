@@ -144,8 +144,55 @@ def apply_cdc(entries: DataFrame) -> DataFrame:
     return latest(entries, "key").filter(F.col("op") == "PUT").select("key", "seq", "hash", "updated_at")
 
 
+def emitted(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The change entries (op, key, hash, version, content_type, updated_at) between two states: nothing for rows of equal content."""
+    cols = ("content_hash", "version", "content_type", "updated_at")
+    old = before.select("object_id", F.col("content_hash").alias("old"), F.lit(True).alias("was"))
+    new = after.select("object_id", *cols, F.lit(True).alias("is"))
+    changed = old.join(new, "object_id", "full").filter(F.col("is").isNull() | F.col("was").isNull() | ~F.col("old").eqNullSafe(F.col("content_hash")))
+    op = F.when(F.col("is"), "PUT").otherwise("DEL")
+    return changed.select(op.alias("op"), F.col("object_id").alias("key"), F.col("content_hash").alias("hash"), *cols[1:])
+
+
+def applied(base: DataFrame, entries: DataFrame) -> DataFrame:
+    """base (object_id, content_hash, version, ...) after entries, one of a key: those of the held hash change nothing; others take the entry's meta."""
+    names = {"content_hash": "hash", "version": "version", "content_type": "content_type", "updated_at": "updated_at"}
+    both = base.withColumn("held", F.lit(True)).join(entries.select(F.col("key").alias("object_id"), F.struct("op", *names.values()).alias("e")), "object_id", "full")
+    takes = (F.col("e.op") == "PUT") & ~(F.coalesce("held", F.lit(False)) & F.col("content_hash").eqNullSafe(F.col("e.hash")))
+    cols = [F.when(takes, F.col(f"e.{e}")).otherwise(F.col(c)).alias(c) for c, e in names.items()]
+    return both.filter(~(F.coalesce("e.op", F.lit("PUT")) == "DEL")).select("object_id", *cols, F.coalesce(takes, F.lit(False)).alias("changed"))
+
+
+def write_routed(items: DataFrame, prefixes: dict[str, str], path: str) -> DataFrame:
+    """Write items into a folder for each route; (route, n_written, n_verified), as read back."""
+    items.withColumn("route", route(F.col("object_id"), prefixes)).write.partitionBy("route").parquet(path)
+    held = items.sparkSession.read.parquet(path)
+    ok = F.sha2("payload", 256).eqNullSafe(F.col("content_hash"))
+    return held.groupBy("route").agg(F.count("*").alias("n_written"), F.count_if(ok).alias("n_verified"))
+
+
+def split_flush(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The last row of each id, by where its options (to_hot, to_archive) send it: the hot rows and the archive's."""
+    last = latest(batch, "object_id")
+    return last.filter("to_hot"), last.filter("to_archive")
+
+
+def without_state(items: DataFrame, where: Column, default: str = "default") -> DataFrame:
+    """items with those of a condition put back to the default state."""
+    return set_state(items, where, default)
+
+
+def branches(items: DataFrame, segments: int) -> DataFrame:
+    """Items and dirty ones by the first so many segments of their ids; clean if none is dirty."""
+    prefix = F.substring_index("object_id", ".", segments).alias("branch")
+    return items.groupBy(prefix).agg(F.count("*").alias("n"), F.count_if("merkle_dirty").alias("n_dirty"), (F.count_if("merkle_dirty") == 0).alias("clean"))
+
+
+def within_limit(items: DataFrame, most: int) -> DataFrame:
+    """items with accepted: whether the payload has at most so many bytes (null: none)."""
+    return items.withColumn("accepted", F.coalesce(F.octet_length("payload"), F.lit(0)) <= most)
+
+
 def compact(log: DataFrame, path: str) -> None:
     """Write the latest rows of a log, dealt by key so that later upserts prune."""
     latest(log, "object_id").repartition("object_id").write.mode("overwrite").parquet(path)
-
-

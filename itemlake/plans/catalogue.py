@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from itemlake import model
 from itemlake.functions import policy
-from itemlake.operators import merkle, search, store
+from itemlake.operators import merkle, search, store, views
 from itemlake.operators.search import Dialect
-from itemlake.sources.shared import shared_dir
+from itemlake.sources.shared import shared_dir, written
 from itemlake.sources.views import doc_items, event_log, event_log_of, geo_items, table, turns, vec_items
 from itemlake.streaming import ingest
 
@@ -486,3 +486,140 @@ def pressure_levels(spark, sf_dir):
     level = policy.pressure_level(F.col("u"))
     e = _entries(spark, sf_dir).select("l_orderkey", "l_linenumber", level.alias("level"))
     return e.withColumns({"writes": policy.accepts_writes(F.col("level")), "retry_after": policy.by_level(F.col("level"), policy.RETRY_AFTER)})
+
+
+# Typed views
+
+DOC_FIELDS = (views.Field("lang", "text"), views.Field("n_chars", "number"), views.Field("tags", "tags"), views.Field("toxic", "boolean"), views.Field("quality", "number"))
+
+
+def _view(name: str, what: search.Query, where: str) -> None:
+    query(DOCS + where, name)(lambda spark, sf_dir: search.search(written(views.typed(doc_items(spark, sf_dir), *DOC_FIELDS), "view"), what, views.Typed()).select("object_id"))
+
+
+_view("view_text_range", EN & search.between("n_chars", 100, 2000), "lang = 'en' AND n_chars BETWEEN 100 AND 2000")
+_view("view_tags", search.tags("tags", "fr", "src3"), "lang IN ('fr', 'src3') OR source IN ('fr', 'src3')")
+_view("view_boolean_or_number", TOXIC | search.numeric_eq("quality", 1), "toxic = 1 OR quality = 1")
+
+
+@query(DOCS.replace("SELECT object_id FROM", "SELECT object_id, updated_at, lang FROM") + "lang = 'en' ORDER BY updated_at DESC, object_id LIMIT 50")
+def view_sorted(spark, sf_dir):
+    view = views.typed(doc_items(spark, sf_dir), *DOC_FIELDS[:1])
+    return search.search(view, EN, views.Typed()).orderBy(F.desc("updated_at"), "object_id").limit(50)
+
+
+@query("""WITH p AS (SELECT c_custkey, (c_custkey * 7) % 400 - 200 AS lon, (c_custkey * 11) % 170 - 85 AS lat FROM customer),
+m AS (SELECT *, 2 * 6371000.0 * asin(sqrt(pow(sin(radians(lat - 48) / 2), 2) + cos(radians(48)) * cos(radians(lat)) * pow(sin(radians(lon - 16) / 2), 2))) AS metres FROM p WHERE lon BETWEEN -180 AND 180)
+SELECT 'crm.' || c_custkey AS object_id, CAST(round(metres) AS BIGINT) AS metres FROM m WHERE metres <= 2000000""")
+def view_geo_radius(spark, sf_dir):
+    """Customers at places made of their keys; those off the map have none."""
+    c = table(spark, sf_dir, "customer")
+    key = F.col("c_custkey")
+    place = F.concat((key * 7 % 400 - 200).cast("string"), F.lit(","), (key * 11 % 170 - 85).cast("string"))
+    items = model.items(c, F.concat(F.lit("crm."), key.cast("string")), F.to_json(F.struct(place.alias("at"))), F.lit(1), key)
+    metres = views.metres(F.col("at"), 16.0, 48.0)
+    return views.typed(items, views.Field("at", "geo")).select("object_id", metres.alias("m")).filter("m <= 2000000").select("object_id", F.round("m").cast("long").alias("metres"))
+
+
+@query("SELECT 'vec:' || vec_id AS object_id, CASE WHEN vec_id % 5 <> 0 THEN 3 END AS n FROM embeddings")
+def view_vector_dim(spark, sf_dir):
+    """Vectors of the first three components, some cut to two: those of another size are null."""
+    e = table(spark, sf_dir, "embeddings")
+    vector = F.slice("embedding", F.lit(1), F.when(F.col("vec_id") % 5 == 0, 2).otherwise(3))
+    items = model.items(e, F.concat(F.lit("vec:"), F.col("vec_id").cast("string")), F.to_json(F.struct(vector.alias("v"))), F.lit(1), F.col("vec_id"))
+    v = F.col("v")
+    return views.typed(items, views.Field("v", "vector", dim=3)).select("object_id", F.when(v.isNotNull(), F.size(v)).alias("n"))
+
+
+# Batches, change entries and replicas
+
+
+@query("SELECT CASE WHEN doc_id::VARCHAR LIKE '1%' THEN 'docs_one' ELSE 'docs' END AS route, count(*) AS n_written, count(*) AS n_verified FROM documents GROUP BY 1")
+def batch_write_routed(spark, sf_dir):
+    path = f"{shared_dir(spark)}/itemlake/batch-{uuid.uuid4().hex}"
+    return store.write_routed(doc_items(spark, sf_dir), {"crdt:docs:": "docs", "crdt:docs:1": "docs_one"}, path)
+
+
+@query("SELECT event_id AS pos, 'crdt:docs:' || (event_id * 2) AS object_id, event_id * 2 IN (SELECT doc_id FROM documents) AS found FROM events")
+def exists_in_order(spark, sf_dir):
+    asked = table(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), F.concat(F.lit("crdt:docs:"), (F.col("event_id") * 2).cast("string")).alias("object_id"))
+    return store.exists(doc_items(spark, sf_dir), asked)
+
+
+@query(LOG + """, l AS (SELECT * FROM r WHERE rn = 1) SELECT 'hot' AS tier, count(*) AS n, sum(seq) AS seqs FROM l WHERE seq % 3 <> 0
+UNION ALL SELECT 'archive', count(*), sum(seq) FROM l WHERE seq % 3 <> 1""")
+def flush_split(spark, sf_dir):
+    batch = event_log(spark, sf_dir).withColumns({"to_hot": F.col("seq") % 3 != 0, "to_archive": F.col("seq") % 3 != 1})
+    hot, archive = (d.agg(F.count("*").alias("n"), F.sum("seq").alias("seqs")) for d in store.split_flush(batch))
+    return hot.select(F.lit("hot").alias("tier"), "n", "seqs").union(archive.select(F.lit("archive"), "n", "seqs"))
+
+
+def _edited(spark, sf_dir):
+    """Customers after edits: some of other content, some of another version alone, some gone."""
+    key = F.substring_index("object_id", ".", -1).try_cast("long")
+    g = geo_items(spark, sf_dir).filter(key % 97 != 0)
+    payload = F.when(key % 89 == 0, F.lit("{}")).otherwise(F.col("payload"))
+    return g.withColumns({"payload": payload, "content_hash": F.sha2(payload, 256), "version": F.when(key % 2 == 0, F.col("version") + 5).otherwise(F.col("version"))})
+
+
+@query(GEO + "SELECT CASE WHEN c_custkey % 97 = 0 THEN 'DEL' ELSE 'PUT' END AS op, object_id AS key, CASE WHEN c_custkey % 97 <> 0 THEN sha256('{}') END AS hash FROM g WHERE c_custkey % 97 = 0 OR c_custkey % 89 = 0")
+def cdc_emit(spark, sf_dir):
+    return store.emitted(geo_items(spark, sf_dir), _edited(spark, sf_dir)).select("op", "key", "hash")
+
+
+@query(GEO + "SELECT object_id, CASE WHEN c_custkey % 89 = 0 THEN sha256('{}') ELSE sha256(payload) END AS content_hash, version + CASE WHEN c_custkey % 89 = 0 AND c_custkey % 2 = 0 THEN 5 ELSE 0 END AS version, c_custkey % 89 = 0 AS changed FROM g WHERE c_custkey % 97 <> 0")
+def cdc_apply_to_base(spark, sf_dir):
+    base = geo_items(spark, sf_dir)
+    return store.applied(base, store.emitted(base, _edited(spark, sf_dir))).select("object_id", "content_hash", "version", "changed")
+
+
+@query(DIRTY + "SELECT regexp_extract(object_id, '^crm[.][^.]*[.][^.]*') AS branch, count(*) AS n, count(*) FILTER (merkle_dirty) AS n_dirty, count(*) FILTER (merkle_dirty) = 0 AS clean FROM f GROUP BY 1")
+def branch_dirty_counts(spark, sf_dir):
+    return store.branches(_flagged(spark, sf_dir), 3)
+
+
+@query(GEO + "SELECT object_id, CASE WHEN state = 'building' THEN 'default' ELSE state END AS state FROM g")
+def remove_state(spark, sf_dir):
+    return store.without_state(geo_items(spark, sf_dir), F.col("state") == "building").select("object_id", "state")
+
+
+@query("SELECT 'crdt:docs:' || doc_id AS object_id, n_chars FROM documents WHERE lang = 'en' AND n_chars >= 2000")
+def hits_fetch(spark, sf_dir):
+    """Ids that a view finds, with the items' own rows."""
+    docs = doc_items(spark, sf_dir)
+    hits = search.search(views.typed(docs, *DOC_FIELDS[:2]), EN & LONG, views.Typed()).select("object_id")
+    return hits.join(docs, "object_id").select("object_id", Dialect().number("n_chars").cast("long").alias("n_chars"))
+
+
+@query("SELECT 'conv.' || conv_id || '.' || turn AS object_id, strlen(text) <= 200 AS accepted FROM conversations")
+def payload_limit(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations")
+    key = F.concat(F.lit("conv."), F.col("conv_id").cast("string"), F.lit("."), F.col("turn").cast("string"))
+    return store.within_limit(model.items(t, key, F.col("text"), F.lit(1), F.col("turn")), 200).select("object_id", "accepted")
+
+
+# Trees of replicas
+
+
+@query(GEO + "SELECT DISTINCT regexp_extract(object_id, '^crm[.][^.]*') AS path, 'divergent' AS kind FROM g WHERE c_custkey % 97 = 0 OR c_custkey % 89 = 0")
+def merkle_diff_children(spark, sf_dir):
+    return merkle.diff_children(_tree(spark, sf_dir), merkle.build(merkle.leaves(_remote(spark, sf_dir))), "crm")
+
+
+@query(GEO + "SELECT object_id, version FROM g WHERE c_custkey % 97 = 0 OR c_custkey % 89 = 0")
+def merkle_resync(spark, sf_dir):
+    theirs = merkle.build(merkle.leaves(_remote(spark, sf_dir)))
+    return merkle.resync(geo_items(spark, sf_dir), _tree(spark, sf_dir), theirs).select("object_id", "version")
+
+
+@query(TREE + "SELECT 0 AS tree, merkle_hash FROM t0 UNION ALL SELECT 1, merkle_hash FROM t0")
+def merkle_roots(spark, sf_dir):
+    """The roots of two tiers that hold the same items, one of them in another order and with other times."""
+    other = geo_items(spark, sf_dir).withColumn("updated_at", F.col("updated_at") + 1).orderBy(F.desc("object_id"))
+    return merkle.roots(_tree(spark, sf_dir), merkle.build(merkle.leaves(other)))
+
+
+@query(f"""WITH q AS (SELECT *, CASE WHEN u < 0.7 THEN 'normal' WHEN u < 0.8 THEN 'warn' WHEN u < 0.9 THEN 'throttle' WHEN u < 0.95 THEN 'critical' WHEN u < 0.98 THEN 'emergency' ELSE 'shutdown' END AS level FROM (SELECT {USED} AS u FROM lineitem))
+SELECT level, count(*) AS n FROM q GROUP BY level""")
+def pressure_counts(spark, sf_dir):
+    return _entries(spark, sf_dir).groupBy(policy.pressure_level(F.col("u")).alias("level")).agg(F.count("*").alias("n"))

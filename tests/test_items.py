@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from itemlake import model
 from itemlake.functions import paths, policy
-from itemlake.operators import merkle, search, store
+from itemlake.operators import merkle, search, store, views
 
 
 def ids(df, col="object_id"):
@@ -104,3 +104,42 @@ def test_policy_bounds(spark):
 def test_cdc_replay(spark):
     log = spark.createDataFrame([(1, "PUT", "a", "h1", "p", 1), (2, "PUT", "b", "h2", "p", 2), (3, "DEL", "a", None, None, 3)], "seq long, op string, object_id string, content_hash string, payload string, updated_at long")
     assert ids(store.apply_cdc(store.cdc_log(log)), "key") == ["b"]
+
+
+def test_typed_view_pushes_filters_to_the_scan(spark, tmp_path, capsys):
+    tools = spark.createDataFrame(TOOLS, "object_id string, payload string").withColumn("updated_at", F.lit(1))
+    fields = [views.Field("label", "text"), views.Field("weight", "number"), views.Field("uses", "tags"), views.Field("weight_text", "number")]
+    views.typed(tools, *fields).write.parquet(f"{tmp_path}/view")
+    view = spark.read.parquet(f"{tmp_path}/view")
+    assert ids(view.filter("weight_text is not null")) == []
+    found = search.search(view, search.between("weight", 10, 20) & search.tags("uses", "wood"), views.Typed())
+    assert ids(found) == ["shop:tools:2"]
+    found.explain("formatted")
+    assert "GreaterThanOrEqual(weight,10.0)" in capsys.readouterr().out
+
+
+def test_typed_view_of_places_and_vectors(spark):
+    rows = [("a", '{"at":"16.4,48.2","v":[1,2]}'), ("b", '{"at":"north","v":[1,2,3]}'), ("c", '{"at":"500,0","v":"x"}'), ("d", None), ("e", '{"at":"1"}')]
+    items = spark.createDataFrame(rows, "object_id string, payload string").withColumn("updated_at", F.lit(1))
+    view = views.typed(items, views.Field("at", "geo"), views.Field("v", "vector", dim=2))
+    assert ids(view.filter("at is not null")) == ["a"] and ids(view.filter("v is not null")) == ["a"]
+    assert ids(view.filter(views.metres(F.col("at"), 16.4, 48.2) < 1)) == ["a"]
+
+
+def test_drill_down_where_one_side_has_children(spark):
+    tree = lambda *rows: merkle.build(spark.createDataFrame(rows, "path string, hash string"))
+    h = [hashlib.sha256(bytes([i])).hexdigest() for i in range(4)]
+    ours, theirs = tree(("a", h[0]), ("b.x", h[1]), ("c.y", h[2])), tree(("a.k", h[3]), ("b.x", h[1]), ("c.y", h[0]), ("d.z.w", h[1]))
+    got = {tuple(r) for r in merkle.drill_down(ours, theirs).collect()}
+    assert got == {("a", "local_only"), ("a.k", "remote_only"), ("c.y", "divergent"), ("d.z.w", "remote_only")}
+    assert merkle.drill_down(ours, ours).count() == 0
+
+
+def test_applied_entries_lead_to_the_other_state(spark):
+    schema = "object_id string, content_hash string, version long, content_type string, updated_at long"
+    before = spark.createDataFrame([("a", "1", 1, "json", 1), ("b", "2", 1, "json", 1), ("c", None, 1, "json", 1)], schema)
+    after = spark.createDataFrame([("a", "9", 2, "binary", 5), ("c", None, 7, "json", 9), ("d", "4", 1, "json", 1), ("e", None, 1, "json", 1)], schema)
+    entries = store.emitted(before, after)
+    assert sorted((r.op, r.key) for r in entries.collect()) == [("DEL", "b"), ("PUT", "a"), ("PUT", "d"), ("PUT", "e")]
+    got = sorted(tuple(r) for r in store.applied(before, entries).collect())
+    assert got == [("a", "9", 2, "binary", 5, True), ("c", None, 1, "json", 1, False), ("d", "4", 1, "json", 1, True), ("e", None, 1, "json", 1, True)]
