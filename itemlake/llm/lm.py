@@ -47,6 +47,8 @@ TOP, BUCKETS = 768, 255
 VOCAB = TOP + BUCKETS + 1  # and one token beyond the ends of a text
 SIDE = 32  # classes, and tokens of a class
 REACH, DIM = 2, 16
+PLACES = [d for d in range(-REACH, REACH + 1) if d]
+SAFE = 40.0  # logits up to which exponentials and their sums are far from a float's ends
 BATCH = 4096  # tokens
 RATE = 0.1
 HELD = 1 << 18  # words that a task counts at once
@@ -127,23 +129,36 @@ def initial(seed: int = 11) -> dict[str, np.ndarray]:
     return {k: (random.standard_normal(s) * 0.1).astype(np.float32) if "bias" not in k and k != "hidden" else np.zeros(s, dtype=np.float32) for k, s in SHAPES.items()}
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=-1, keepdims=True))
-    return x / x.sum(axis=-1, keepdims=True)
+def _softmax(x: np.ndarray, most: float) -> np.ndarray:
+    """In place; logits of an absolute value up to `most`, if that is far from overflow, need no shift by their maximum."""
+    if not most <= SAFE:
+        x -= x.max(axis=-1, keepdims=True)
+    np.exp(x, out=x)
+    x /= (x @ np.ones(x.shape[-1], dtype=x.dtype))[:, None]
+    return x
 
 
 def _forward(model: dict[str, np.ndarray], token: np.ndarray, at: np.ndarray):
     """Hidden layer, order of targets by class, each class's slice, and both softmaxes at places `at`."""
     target = token[at]
-    order = np.argsort(target // SIDE, kind="stable")
+    order = np.argsort((target // SIDE).astype(np.int8), kind="stable")
     at, target = at[order], target[order]
-    places = [d for d in range(-REACH, REACH + 1) if d]
-    h = np.tanh(sum(model["around"][i][token[at + d]] for i, d in enumerate(places)) + model["hidden"])
+    h = np.repeat(model["hidden"][None], len(at), axis=0)
+    for i, d in enumerate(PLACES):
+        h += model["around"][i].take(token[at + d], axis=0)
+    np.tanh(h, out=h)
     ends = np.searchsorted(target // SIDE, np.arange(SIDE + 1))
-    outer = _softmax(h @ model["classes"] + model["class_bias"])
+    outer = h @ model["classes"]
+    outer += model["class_bias"]
+    # the hidden layer is within -1 and 1
+    _softmax(outer, (np.abs(model["classes"]).sum(axis=0) + np.abs(model["class_bias"])).max())
+    most = (np.abs(model["inner"]).sum(axis=1) + np.abs(model["inner_bias"])).max()
     inner = np.empty((len(at), SIDE), dtype=np.float32)
     for c in np.flatnonzero(np.diff(ends)):
-        inner[ends[c] : ends[c + 1]] = _softmax(h[ends[c] : ends[c + 1]] @ model["inner"][c] + model["inner_bias"][c])
+        own = inner[ends[c] : ends[c + 1]]
+        np.matmul(h[ends[c] : ends[c + 1]], model["inner"][c], out=own)
+        own += model["inner_bias"][c]
+    _softmax(inner, most)
     return order, at, target, h, ends, outer, inner
 
 
@@ -170,11 +185,11 @@ def train_step(model: dict[str, np.ndarray], squares: dict[str, np.ndarray], tok
         back[own] += inner[own] @ model["inner"][c].T
     back *= 1 - h * h
     grad["hidden"] = back.sum(axis=0)
-    around = np.zeros_like(model["around"])
-    for i, d in enumerate(x for x in range(-REACH, REACH + 1) if x):
-        neighbour = token[at + d]
+    around, columns = np.zeros_like(model["around"]), np.ascontiguousarray(back.T, dtype=np.float64)
+    for i, d in enumerate(PLACES):
+        neighbour = token[at + d].astype(np.intp)
         for j in range(DIM):
-            around[i, :, j] = np.bincount(neighbour, back[:, j], minlength=VOCAB)
+            around[i, :, j] = np.bincount(neighbour, columns[j], minlength=VOCAB)
     grad["around"] = around
     for k, g in grad.items():
         g = g / np.float32(len(at))
