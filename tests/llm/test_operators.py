@@ -248,6 +248,46 @@ def test_line_dedup_inside_a_template(spark):
     assert len(set(want)) <= 301
 
 
+def test_line_dedup_links_lines_of_one_shared_band(spark):
+    """Lines of a template, in pairs of a similarity at the bound, one of which shares no more than one band, which many hold."""
+    vocab = ["".join(random.Random(i).choice("abcdefghijklmnopqrstuvwxyz") for _ in range(2 + i % 8)) for i in range(3000)]
+
+    def text(n, seed):
+        r = random.Random(seed)
+        return " ".join(r.choice(vocab) for _ in range(n))
+
+    lines = []
+    for i in range(40):
+        lines.append(f"{text(32, 2)} {text(12, 2100 + i)}")
+        lines.append(" ".join(lines[-1].split()[:38] + text(6, 502000 + i).split()))
+    sets = [full_shingles(t) for t in lines]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    want = smallest_reachable(len(lines), links)
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    assert [i for i in range(len(lines)) if got[i]] == [i for i in range(len(lines)) if want[i] == i]
+
+
+def test_crowded_lists_lose_no_link(spark):
+    """Two groups of sets around one core, whose pairs shrink once a few of them have joined components."""
+    r = random.Random(8)
+    sets = {}
+    for g in range(2):
+        core = [g * 10**6 + x for x in range(60)]
+        for i in range(150):
+            sets[g * 150 + i] = {*r.sample(core, 50), *(10**7 + r.randint(0, 400) for _ in range(4))}
+    links = [(i, j) for i in sets for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    rows = [(i, i, v) for i, s in sets.items() for v in s]
+    posted = graph.prefixes(spark.createDataFrame(rows, "id long, label long, value long"), 75)
+    few = {(r.a, r.b) for r in graph.nearby(posted, 75).collect()}
+    every = {(r.a, r.b) for r in graph.prefix_pairs(posted, 75).collect()}
+    assert {(j, i) for i, j in links} <= every and few <= every and 4 * len(few) < len(every)
+    edges = spark.createDataFrame([(j, i) for i, j in links if (j, i) in few], "a long, b long")
+    found = graph.components(edges)
+    label = {r.node: r.label for r in found.collect()}
+    left = {(r.a, r.b) for r in graph.prefix_pairs(graph.relabelled(posted, found), 75).collect()}
+    assert left == {(a, b) for a, b in every if label.get(a, a) != label.get(b, b)}
+
+
 def test_line_dedup_keeps_columns_whose_names_clash(spark):
     docs = spark.createDataFrame([(1, "a\na\nb", 5, [7], 9), (2, "b", 6, None, 8)], "doc_id long, text string, row long, places array<int>, _row long")
     got = sorted(tuple(r) for r in linededup.dedup_lines(docs).collect())
