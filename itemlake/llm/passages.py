@@ -5,17 +5,20 @@ of the smallest hash is a seed (a minimiser), so any equal run of WINDOW +
 SEED - 1 words shares one; what is found at which agreement of words is
 measured in tests/llm. Documents of equal words are one class with one
 representative. Classes that share a seed are candidates (graph.candidates): all
-pairs of a seed of few classes, a star around the smallest class of a frequent
-one. Frequent seeds count again together with those that follow them, so a class
-meets the smallest other one that has the same run of seeds. All seeds that two
-candidates share are matched and, in order, chained by a dynamic programme
+pairs of a seed of few classes, a star around one class of a frequent one. Two
+frequent seeds of LEAST_CHAIN words together, at most REACH apart, count again as one, so
+texts that share no other seed meet by the two that a chain needs. A holder of
+such a couple whose place lies in no passage with the centre of its star is then
+held against every other holder, so no cut is made where stars do not reach. All
+seeds that two candidates share are matched and, in order, chained by a dynamic programme
 whose best predecessor a tree of maxima finds, among those near enough: a match
 adds its new words, a gap costs by its length in both texts. Chains are aligned
 word by word, extended at both ends over edits too, and are passages if both
 sides have `least` words and `percent` of the longer side's words agree.
 
 A passage that more than graph.HOT classes hold is so reported as each one's
-pair with a representative and not as all pairs of its holders. A seed that one
+pair with a representative and not as all pairs of its holders; those that have
+none with the representative are reported with all others that have it. A seed that one
 text repeats is matched place by place with those of the other text, and each of
 its places with the first there, so all places are covered.
 
@@ -37,13 +40,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from itemlake.llm.common import small, small_batches, written
-from itemlake.llm.graph import candidates
+from itemlake.llm.common import drop, small, small_batches, written
+from itemlake.llm.graph import candidates, centres
 from itemlake.llm.neardup import _MULT, _mix, word_hashes
 
 SEED, WINDOW = 6, 8  # words, runs
-FOLLOWING = (1, 3, 8)  # numbers of further seeds together with which a frequent one counts again
 GAP = 25  # most words between matches of a chain
+REACH = 2 * (GAP + SEED)  # words from the first of two frequent seeds to the other
 GAP_COST = 0.25  # of a word between matches
 EDIT_COST = 3  # of an edit beyond a chain's ends, in words that agree
 LEAST_CHAIN = 24  # words from a chain's first to its last match
@@ -352,22 +355,55 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     classes = seeded.groupBy("key").agg(F.min("id").alias("id"), F.first("hashes").alias("hashes"), F.first("places").alias("places"))
     # numbers are fixed once they are written
     classes = written(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
-    named = classes.select("cls", "key", "id")
+    members = written(seeded.select("id", "n", "key"), "members")
+    named = written(classes.select("cls", "key", "id"), "named")
+    drop(seeded)
 
     # a seed that one class has alone matches nothing; what others share goes on, with its places
     each = F.array_distinct("hashes")
     common = classes.select(F.explode(each).alias("value")).groupBy("value").agg(F.count("*").alias("n")).filter("n > 1")
-    common = small(written(common.select("value"), "common"))
-    shared = written(classes.select("cls", F.posexplode("hashes").alias("at", "value"), "places").select("cls", "value", F.col("places")[F.col("at")].alias("place")).join(common, "value", "left_semi"), "shared")
-    pairs, long = candidates(shared.select(F.col("cls").alias("id"), "value").distinct())
-    frequent = small(written(long.select("value").distinct(), "frequent"))
-    # of a frequent seed, as many of those that follow as are asked for
-    runs = classes.select("cls", F.posexplode("hashes").alias("at", "value"), "hashes").select("cls", "value", F.slice("hashes", F.col("at") + 1, F.lit(max(FOLLOWING) + 1)).alias("run")).join(frequent, "value")
-    deeper = F.array(*(F.when(F.size("run") > d, F.xxhash64(F.lit(d), F.slice("run", 1, d + 1))) for d in FOLLOWING))
-    again = runs.select(F.col("cls").alias("id"), F.explode(deeper).alias("value")).filter("value is not null").distinct()
-    pairs = pairs.union(candidates(again)[0]).distinct()
-
-    seeds = shared.groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("value", "place"))).alias("s"))  # of one text
+    common = written(common.select("value"), "common")
+    placed = classes.select("cls", F.posexplode("hashes").alias("at", "value"), "places").select("cls", "value", F.col("places")[F.col("at")].alias("place"))
+    shared = written(placed.join(small(common), "value", "left_semi"), "shared")
+    drop(classes, common)
+    short, long = candidates(shared.select(F.col("cls").alias("id"), "value").distinct())
+    frequent = written(long.select("value").distinct(), "frequent")
+    seeds = written(shared.groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("value", "place"))).alias("s")), "sorted")  # of one text
+
+    # chains of frequent seeds alone: two of them, so far apart that a chain has both
+    held = shared.join(small(frequent), "value").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("place", "value"))).alias("m"))
+    apart = lambda x, y: (y["place"] - x["place"] >= LEAST_CHAIN - SEED) & (y["place"] - x["place"] <= REACH)
+    couple = lambda x, y: F.struct(F.xxhash64(x["value"], y["value"]).alias("value"), x["place"].alias("first"), (y["place"] + SEED).alias("end"))
+    onward = lambda x, i: F.slice("m", i + 2, F.lit(REACH))  # noqa: E731  places are distinct, so what REACH words hold is among so many
+    couples = held.select("cls", F.explode(F.flatten(F.transform("m", lambda x, i: F.transform(F.filter(onward(x, i), lambda y: apart(x, y)), lambda y: couple(x, y))))).alias("c"))
+    couples = written(couples.select(F.col("cls").alias("id"), "c.*"), "couples")
+    drop(shared, frequent)
+    more, long = candidates(couples.select("id", "value").distinct())
+    pairs = written(short.union(more).distinct(), "pairs")
+    drop(short, more)
+
+    first = _confirmed(rows, named, seeds, pairs, least, percent)
+    # holders of a frequent couple that no passage with its star's centre covers there
+    stars = written(centres(long), "stars")
+    beside = couples.join(small(stars), "value").filter(F.col("id") != F.col("x"))
+    spans = first.select(F.col("a").alias("id"), F.col("b").alias("x"), F.col("a0").alias("start"), F.col("a1").alias("stop")).union(first.select("b", "a", "b0", "b1"))
+    uncovered = beside.join(spans, (beside.id == spans.id) & (beside.x == spans.x) & (F.col("first") >= F.col("start")) & (F.col("end") <= F.col("stop")), "left_anti")
+    uncovered = written(uncovered.select("value", "id").distinct(), "uncovered")
+    found = first
+    if not uncovered.isEmpty():
+        others = long.select("value", F.col("id").alias("other"))
+        rest = uncovered.join(others, "value").filter("id <> other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+        rest = written(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
+        found = first.union(_confirmed(rows, named, seeds, rest, least, percent))
+
+    ids = [named.select(F.col("cls").alias(s), F.col("id").alias(f"id_{s}")) for s in "ab"]
+    passages = found.join(ids[0], "a").join(ids[1], "b").select(F.col("id_b").alias("id"), F.col("b0").alias("start"), F.col("b1").alias("end"), F.col("id_a").alias("other_id"), F.col("a0").alias("other_start"), F.col("a1").alias("other_end"), "similarity")
+    copies = members.join(named.select("key", F.col("id").alias("other_id")), "key").filter(F.col("id") != F.col("other_id"))
+    return passages.union(copies.select("id", F.lit(0), "n", "other_id", F.lit(0), "n", F.lit(1.0)).distinct())
+
+
+def _confirmed(rows: DataFrame, named: DataFrame, seeds: DataFrame, pairs: DataFrame, least: int, percent: int) -> DataFrame:
+    """(a, b, a0, a1, b0, b1, similarity): the passages of these pairs of classes."""
     sides = [seeds.select(F.col("cls").alias(s), F.col("s.value").alias(f"h{s}"), F.col("s.place").alias(f"p{s}")) for s in "ab"]
     matched = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "ha", "pa", "hb", "pb")
     chained = written(matched.mapInArrow(_chained, "a long, b long, chain int, p array<int>, q array<int>"), "chains")
@@ -384,9 +420,6 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     halves = [cut.select(F.col("cls").alias(s), F.col("first").alias(f"f{s}"), F.col("last").alias(f"l{s}"), F.col("start").alias(f"s{s}"), F.col("words").alias(f"w{s}")) for s in "ab"]
     both = chained.withColumns({"fa": F.element_at("p", 1), "la": F.element_at("p", -1), "fb": F.element_at("q", 1), "lb": F.element_at("q", -1)})
     both = both.join(halves[0], ["a", "fa", "la"]).join(halves[1], ["b", "fb", "lb"]).select("a", "b", "sa", "wa", "sb", "wb", "p", "q")
-    found = both.mapInArrow(_aligned(least, percent), "a long, b long, a0 int, a1 int, b0 int, b1 int, similarity double").distinct()
-
-    ids = [named.select(F.col("cls").alias(s), F.col("id").alias(f"id_{s}")) for s in "ab"]
-    passages = found.join(ids[0], "a").join(ids[1], "b").select(F.col("id_b").alias("id"), F.col("b0").alias("start"), F.col("b1").alias("end"), F.col("id_a").alias("other_id"), F.col("a0").alias("other_start"), F.col("a1").alias("other_end"), "similarity")
-    copies = seeded.select("id", "n", "key").join(named.select("key", F.col("id").alias("other_id")), "key").filter(F.col("id") != F.col("other_id"))
-    return passages.union(copies.select("id", F.lit(0), "n", "other_id", F.lit(0), "n", F.lit(1.0)).distinct())
+    found = written(both.mapInArrow(_aligned(least, percent), "a long, b long, a0 int, a1 int, b0 int, b1 int, similarity double").distinct(), "passages")
+    drop(chained, wanted, cut)
+    return found

@@ -512,3 +512,18 @@ def test_repeated_passages(spark):
     assert set(got) == {(0, 1), (2, 3), (4, 5)}
     assert got[0, 1] == (40, 110, 90, 160) and got[4, 5] == (0, 300, 0, 300)
     assert passages.repeated_passages(empty(spark)).count() == 0
+
+
+def test_passages_of_frequent_seeds_alone(spark):
+    """Two texts share three phrases that many hold, each with other words between them, so that no run of seeds is theirs alone."""
+    phrases = [prose(20, 80 + k) for k in range(3)]
+    texts = [f"{prose(30, 8000 + i)} {phrases[i % 3]} {prose(40, 8200 + i)}" for i in range(150)]
+    texts += [f"{prose(25 + i, 8400 + i)} {phrases[0]} {prose(4, 8410 + i)} {phrases[1]} {prose(4, 8420 + i)} {phrases[2]} {prose(25, 8430 + i)}" for i in range(2)]
+    got = passages.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [tuple(sorted((r.id, r.other_id))) for r in got] == [(150, 151)]
+    # a centre that has 41 words of a couple, which all others share with 20 more
+    base, end = prose(41, 82), prose(20, 83)
+    texts = [f"{prose(30, 8500 + i)} {base} {prose(30, 8600 + i)}" for i in range(60)] + [f"{prose(20 + i, 8700 + i)} {base} {end} {prose(30, 8800 + i)}" for i in range(20)]
+    got = passages.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    reach = smallest_reachable(len(texts), [(r.id, r.other_id) for r in got])
+    assert set(reach[60:]) == {60} and reach[:60] == list(range(60))
