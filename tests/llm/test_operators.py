@@ -288,6 +288,18 @@ def test_crowded_lists_lose_no_link(spark):
     assert left == {(a, b) for a, b in every if label.get(a, a) != label.get(b, b)}
 
 
+def test_crowded_lists_form_a_pair_once(spark):
+    """Sets that share many long lists, most of one component: each pair of different components comes once, and none is lost."""
+    r = random.Random(9)
+    sets = {i: {*r.sample(range(60), 50), *(10**7 + r.randint(0, 400) for _ in range(4))} for i in range(120)}
+    label = {i: 0 if i < 90 else i for i in sets}
+    posted = graph.prefixes(spark.createDataFrame([(i, label[i], v) for i, s in sets.items() for v in s], "id long, label long, value long"), 75)
+    met = [(min(p), max(p)) for p in graph.crowd_pairs(posted, graph._open(posted).filter(F.col("n") > graph.HOT), 75).collect()]
+    links = {(j, i) for i in sets for j in range(i) if label[i] != label[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    assert len(met) == len(set(met)) and links and links <= set(met)
+    assert all(label[a] != label[b] for a, b in met)
+
+
 def test_line_dedup_keeps_columns_whose_names_clash(spark):
     docs = spark.createDataFrame([(1, "a\na\nb", 5, [7], 9), (2, "b", 6, None, 8)], "doc_id long, text string, row long, places array<int>, _row long")
     got = sorted(tuple(r) for r in linededup.dedup_lines(docs).collect())
