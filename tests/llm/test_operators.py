@@ -300,6 +300,12 @@ def test_crowded_lists_form_a_pair_once(spark):
     assert all(label[a] != label[b] for a, b in met)
 
 
+def test_line_shingles_in_an_array_are_those_in_rows(spark):
+    lines = spark.createDataFrame([(1, "abcdefghijklmnopq"), (2, "short"), (3, "é😀" * 9), (4, "abcdefghijkl"), (5, "ha " * 9)], "cls long, line string")
+    rows = lines.select("cls", F.explode(linededup.shingles(F.col("line"))).alias("h")).orderBy("cls", "h").collect()
+    assert rows == linededup.shingled(lines, "cls").orderBy("cls", "h").collect()
+
+
 def test_line_dedup_keeps_columns_whose_names_clash(spark):
     docs = spark.createDataFrame([(1, "a\na\nb", 5, [7], 9), (2, "b", 6, None, 8)], "doc_id long, text string, row long, places array<int>, _row long")
     got = sorted(tuple(r) for r in linededup.dedup_lines(docs).collect())
