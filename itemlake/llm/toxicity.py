@@ -12,7 +12,8 @@ kept out of the training makes that a probability.
 Training takes a bounded sample of labelled rows: up to `per_class` texts of
 each label with at most `max_chars` characters, in the order of a hash of the
 id. Toxic texts are bags: the first epochs take every window of them as toxic,
-the later ones only the worst few. Scoring takes all texts, whole, in tasks.
+the later ones only the worst few. One task trains, so the driver holds the
+model alone. Scoring takes all texts, whole, in tasks.
 
 Null and empty texts have no window and score as the bias alone. Labels that
 are null are left out; an id with several labels takes the largest. Without
@@ -192,13 +193,30 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_chars:
     """Fit on a bounded sample of labels (id_col, label_col) joined to docs."""
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("label"))
     total = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("toxic")).first()
-    sampled = []
+    sampled = None
     for label in (0, 1):
         ids = F.broadcast(known.filter(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(2 * per_class))
         mine = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.length("text") <= max_chars).join(ids, "id")
-        rows = mine.orderBy(F.xxhash64("id"), "id").limit(per_class).collect()
-        sampled += [(r.text, label) for r in rows]
-    return fit([t for t, _ in sampled], np.array([y for _, y in sampled], dtype=np.int64), total.toxic / max(1, total.n))
+        mine = mine.select(F.lit(label).alias("label"), F.xxhash64("id").alias("place"), "id", "text").orderBy("place", "id").limit(per_class)
+        sampled = mine if sampled is None else sampled.union(mine)
+    share = total.toxic / max(1, total.n)
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, toxic = [], []
+        for batch in batches:
+            toxic += batch.column(0).to_pylist()
+            texts += batch.column(1).to_pylist()
+        model = fit(texts, np.array(toxic, dtype=np.int64), share)
+        numbers = {k: [float(getattr(model, k))] for k in ("bias", "slope", "shift")}
+        yield pa.RecordBatch.from_pydict({"weight": [model.weight.tobytes()]} | numbers)
+
+    # the sample is bounded; a task has the memory to train on it that the driver may lack
+    small_batches(docs.sparkSession)
+    ordered = sampled.repartition(1).sortWithinPartitions("label", "place", "id").select("label", "text")
+    found = ordered.mapInArrow(fitted, "weight binary, bias double, slope double, shift double").collect()
+    if not found:  # no row, no task
+        return fit([], np.empty(0, dtype=np.int64), share)
+    return Model(np.frombuffer(found[0].weight, dtype=np.float32), found[0].bias, found[0].slope, found[0].shift)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:

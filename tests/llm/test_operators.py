@@ -1,6 +1,7 @@
 """The corpus operators against brute force on small tables, edge cases included."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -379,6 +380,19 @@ def test_toxicity_learns_and_reaches_misspellings(spark):
     assert len(unlabelled) == 1 and unlabelled[0].score < 0.01
 
 
+def test_toxicity_trains_in_a_task(spark, monkeypatch):
+    texts = [f"{prose(30, 8000 + i)} {'horridword' if i % 3 == 0 else ''}" for i in range(90)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int")
+    order = [r.doc_id for r in labels.orderBy(F.expr("int(toxic > 0)"), F.xxhash64("doc_id"), "doc_id").collect()]
+    want = toxicity.fit([texts[i] for i in order], np.array([int(i % 3 == 0) for i in order]), 1 / 3)
+    got = toxicity.train(docs, labels)
+    assert np.array_equal(got.weight, want.weight) and (got.bias, got.slope, got.shift) == (want.bias, want.slope, want.shift)
+    monkeypatch.setattr(toxicity, "fit", lambda texts, *_: toxicity.Model(np.zeros(1, dtype=np.float32), float(os.getpid()), len(texts), 0.0))
+    got = toxicity.train(docs, labels)
+    assert got.bias != os.getpid() and got.slope == 90
+
+
 def test_language_model_prefers_its_corpus(spark):
     cycle = [" ".join(VOCAB[(i + j) % 40] for j in range(60)) for i in range(300)]
     docs = docs_of(spark, [*cycle, None, "", " "])
