@@ -33,7 +33,7 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_left, bisect_right
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -238,13 +238,18 @@ def _parts(found: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
     yield from parts
 
 
+def _slices(lists: pa.ListArray) -> Callable[[int], np.ndarray]:
+    """The numbers of the list at a row, of a column without nulls, without an object for each list."""
+    flat, ends = lists.values.to_numpy(), lists.offsets.to_pylist()
+    return lambda i: flat[ends[i] : ends[i + 1]]
+
+
 def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
+        out, sides = [], [_slices(batch.column(c)) for c in range(2, 6)]
         for i, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-            sides = [batch.column(c)[i].values.to_numpy() for c in range(2, 6)]
             n = 0
-            for part in _parts(matches_of(*sides)):
+            for part in _parts(matches_of(*(side(i) for side in sides))):
                 for chain in _along(part) or chains(part):
                     if len(chain) > 1 and _span(chain) >= LEAST_CHAIN:
                         out.append((a, b, n, [p for p, _ in chain], [q for _, q in chain]))
@@ -274,7 +279,13 @@ def _onward(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     differ = np.flatnonzero(a[:n] != b[:n])
     more = int(differ[0]) if len(differ) else n
     equal = a[more:, None] == b[None, more:]
-    if np.count_nonzero(equal.any(axis=1)) <= EDIT_COST:
+    # an edit comes first, and one before each run of words that agree, so a gain has a run of more than EDIT_COST words
+    if min(equal.shape) <= EDIT_COST:
+        return more, more, more
+    runs = equal[: len(equal) - EDIT_COST, : equal.shape[1] - EDIT_COST].copy()
+    for d in range(1, EDIT_COST + 1):
+        runs &= equal[d : len(equal) - EDIT_COST + d, d : equal.shape[1] - EDIT_COST + d]
+    if not runs.any():
         return more, more, more
     unit = 1 << 20  # a cell is its score in units, and how many words agree
     step = EDIT_COST * unit * np.arange(equal.shape[1] + 1)
@@ -331,11 +342,9 @@ def _aligned(least: int, percent: int):
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, keep = [], []
-            for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i] for c in ("wa", "wb", "sa", "sb", "p", "q")}
-                a, b = (row[c].values.to_numpy() for c in ("wa", "wb"))
-                sa, sb = row["sa"].as_py(), row["sb"].as_py()
-                a0, a1, b0, b1, same = aligned(a, b, [x - sa for x in row["p"].as_py()], [x - sb for x in row["q"].as_py()])
+            wa, wb, p, q = (_slices(batch.column(c)) for c in ("wa", "wb", "p", "q"))
+            for i, (sa, sb) in enumerate(zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist())):
+                a0, a1, b0, b1, same = aligned(wa(i), wb(i), (p(i) - sa).tolist(), (q(i) - sb).tolist())
                 if min(a1 - a0, b1 - b0) >= least and 100 * same >= percent * max(a1 - a0, b1 - b0):
                     keep.append(i)
                     out.append((a0 + sa, a1 + sa, b0 + sb, b1 + sb, same / max(a1 - a0, b1 - b0)))

@@ -527,6 +527,43 @@ def test_alignment_goes_on_over_edits():
         assert got == (30, 90, 30, 90 + shift, 58)
 
 
+def test_onward_skips_only_what_cannot_gain(monkeypatch):
+    """Against the whole alignment; most ends of unlike texts are settled without it."""
+
+    def whole(a, b):
+        n = min(len(a), len(b))
+        differ = np.flatnonzero(a[:n] != b[:n])
+        more = int(differ[0]) if len(differ) else n
+        rows, best = [[(-3 * j, 0) for j in range(len(b) - more + 1)]], (0, 0)
+        for i in range(more, len(a)):
+            last, row = rows[-1], [(rows[-1][0][0] - 3, 0)]
+            for j in range(more, len(b)):
+                at = j - more
+                up, left, over = last[at + 1], row[-1], last[at]
+                step = (over[0] + 1, over[1] + 1) if a[i] == b[j] else (over[0] - 3, over[1])
+                row.append(max(step, (up[0] - 3, up[1]), (left[0] - 3, left[1])))
+            rows.append(row)
+            best = max([best, *(x for x in row if x[0] > 0)])
+        return more + best[1]
+
+    r, calls = random.Random(4), []
+    for case in range(400):
+        a = [r.randrange(3 + case % 40) for _ in range(r.randint(0, 30))]
+        b = [x if r.random() < 0.8 else r.randrange(50) for x in a if r.random() < 0.95] if case % 2 else [r.randrange(3 + case % 40) for _ in range(30)]
+        a, b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+        assert passages._onward(a, b)[2] == whole(a, b)
+
+    class Counted:
+        def __getattr__(self, name):
+            calls.append(name)
+            return getattr(np, name)
+
+    monkeypatch.setattr(passages, "np", Counted())
+    for _ in range(200):
+        passages._onward(np.array([r.randrange(30) for _ in range(28)]), np.array([30 + r.randrange(2) if i == 0 else r.randrange(30) for i in range(28)]))
+    assert calls.count("arange") < 20
+
+
 def test_repeated_passages_apart(spark):
     one, two = prose(60, 40), prose(60, 41)
     texts = [f"{one} {prose(40, 42)} {two}", f"{one} {prose(40, 43)} {two}"]
