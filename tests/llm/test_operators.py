@@ -292,7 +292,7 @@ def test_crowded_lists_lose_no_link(spark):
 def test_crowded_lists_form_a_pair_once(spark):
     """Sets that share many long lists, most of one component: each pair of different components comes once, and none is lost."""
     r = random.Random(9)
-    sets = {i: {*r.sample(range(60), 50), *(10**7 + r.randint(0, 400) for _ in range(4))} for i in range(120)}
+    sets = {i: {*r.sample(range(60), 56), *(10**7 + r.randint(0, 400) for _ in range(4))} for i in range(120)}
     label = {i: 0 if i < 90 else i for i in sets}
     posted = graph.prefixes(spark.createDataFrame([(i, label[i], v) for i, s in sets.items() for v in s], "id long, label long, value long"), 75)
     met = [(min(p), max(p)) for p in graph.crowd_pairs(posted, graph._open(posted).filter(F.col("n") > graph.HOT), 75).collect()]
