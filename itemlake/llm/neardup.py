@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from itemlake.llm.common import small, small_batches, written
+from itemlake.llm.common import drop, scratch, small, small_batches, written
 from itemlake.llm.graph import linked
 
 SHINGLE = 5
@@ -114,6 +114,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = sketched.filter("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("hashes").alias("hashes"))
     # numbers are fixed once they are written
     classes = written(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    keyed = written(sketched.select("id", "n", "key"), "keyed")
+    drop(sketched)
     posted = classes.select(F.col("cls").alias("id"), F.explode("hashes").alias("value"))
     bound = percent / 100
     margin = MARGIN * (bound * (1 - bound) / K) ** 0.5
@@ -143,10 +145,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         held = whole(hot.select(F.col("id").alias("cls"))).withColumnRenamed("cls", "id").join(hot, "id")
         return held.select("id", "label", F.explode("hashes").alias("value"))
 
-    labels = written(linked(posted, percent, verify, elements), "labels")
+    with scratch() as keep:
+        labels = keep(written(linked(posted, percent, verify, elements), "labels"))
     named = labels.join(classes.select(F.col("cls").alias("node"), "id"), "node")
     lowest = named.groupBy("label").agg(F.min("id").alias("component"))
     linked_to = named.join(lowest, "label").select(F.col("node").alias("cls"), "component")
     of_class = classes.select("cls", "key", "id").join(linked_to, "cls", "left").select("key", F.coalesce("component", "id").alias("component"))
-    joined = sketched.select("id", "n", "key").join(of_class, "key", "left")
+    of_class = written(of_class, "of_class")
+    drop(classes, labels)
+    joined = keyed.join(of_class, "key", "left")
     return joined.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))

@@ -11,7 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from itemlake.llm import bpe, decontaminate, graph, linededup, lm, neardup, passages, pii, tokencount, topk, toxicity
+from itemlake.llm import bpe, common, decontaminate, graph, linededup, lm, neardup, passages, pii, tokencount, topk, toxicity
 from pyspark.sql import functions as F
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -307,6 +307,22 @@ def test_line_shingles_in_an_array_are_those_in_rows(spark):
     assert rows == linededup.shingled(lines, "cls").orderBy("cls", "h").collect()
 
 
+def test_tables_made_on_the_way_are_dropped(spark):
+    """Line and near dedup leave the tables alone that their results read: the next stage has the disk."""
+    texts = [f"{prose(30, 7)} {prose(2, 7700 + i)}\n{prose(20, 7800 + i // 2)}" for i in range(40)]
+    for dedup, most in ((linededup.dedup_lines, 1), (neardup.near_duplicates, 2)):
+        before = set(common._written)
+        out = dedup(docs_of(spark, texts))
+        assert len(set(common._written) - before) <= most
+        assert out.count() == len(texts) + 1
+    with common.scratch() as outer:
+        with common.scratch() as keep:
+            one, two = (keep(common.written(spark.range(3), "kept")), common.written(spark.range(3), "gone"))
+        assert {one._itemlake_path, two._itemlake_path} & set(common._written) == {one._itemlake_path}
+        outer(common.written(spark.range(4), "kept"))
+    assert one._itemlake_path not in common._written
+
+
 def test_line_dedup_keeps_columns_whose_names_clash(spark):
     docs = spark.createDataFrame([(1, "a\na\nb", 5, [7], 9), (2, "b", 6, None, 8)], "doc_id long, text string, row long, places array<int>, _row long")
     got = sorted(tuple(r) for r in linededup.dedup_lines(docs).collect())
