@@ -34,14 +34,15 @@ import hashlib
 from bisect import bisect_left, bisect_right
 from collections import deque
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from itemlake.llm.common import drop, small, small_batches, written
-from itemlake.llm.graph import candidates, centres
+from itemlake.llm.graph import CENTRES, candidates, centres
 from itemlake.llm.neardup import _MULT, _mix, word_hashes
 
 SEED, WINDOW = 6, 8  # words, runs
@@ -380,7 +381,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     seeds = written(shared.groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("value", "place"))).alias("s")), "sorted")  # of one text
 
     # chains of frequent seeds alone: two of them, so far apart that a chain has both
-    held = shared.join(small(frequent), "value").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("place", "value"))).alias("m"))
+    # (all seeds of a chain that no short list has are frequent, and none is further from the next than a gap, in either text)
+    in_text = Window.partitionBy("cls").orderBy("place")
+    far = F.coalesce((F.col("place") - F.lag("place").over(in_text) > GAP + SEED).cast("int"), F.lit(0))
+    held = shared.join(small(frequent), "value").withColumn("far", far).withColumn("part", F.sum("far").over(in_text))
+    held = held.groupBy("cls", "part").agg(F.sort_array(F.collect_list(F.struct("place", "value"))).alias("m"))
     apart = lambda x, y: (y["place"] - x["place"] >= LEAST_CHAIN - SEED) & (y["place"] - x["place"] <= REACH)
     couple = lambda x, y: F.struct(F.xxhash64(x["value"], y["value"]).alias("value"), x["place"].alias("first"), (y["place"] + SEED).alias("end"))
     onward = lambda x, i: F.slice("m", i + 2, F.lit(REACH))  # noqa: E731  places are distinct, so what REACH words hold is among so many
@@ -392,18 +397,29 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     drop(short, more)
 
     first = _confirmed(rows, named, seeds, pairs, least, percent)
-    # holders of a frequent couple that no passage with its star's centre covers there
+    found, done = [first], pairs
+
+    def held_against(places: DataFrame) -> DataFrame:
+        """The passages of the holders at these places with x, of those pairs that have not been compared."""
+        nonlocal done
+        new = places.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
+        new = written(new, "rest")
+        done = done.union(new)
+        found.append(_confirmed(rows, named, seeds, new, least, percent))
+        return reduce(DataFrame.union, found)
+
+    # places of a frequent couple that no passage with its star's centre covers there
     stars = written(centres(long), "stars")
-    beside = couples.join(small(stars), "value").filter(F.col("id") != F.col("x"))
-    spans = first.select(F.col("a").alias("id"), F.col("b").alias("x"), F.col("a0").alias("start"), F.col("a1").alias("stop")).union(first.select("b", "a", "b0", "b1"))
-    uncovered = beside.join(spans, (beside.id == spans.id) & (beside.x == spans.x) & (F.col("first") >= F.col("start")) & (F.col("end") <= F.col("stop")), "left_anti")
-    uncovered = written(uncovered.select("value", "id").distinct(), "uncovered")
-    found = first
-    if not uncovered.isEmpty():
-        others = long.select("value", F.col("id").alias("other"))
-        rest = uncovered.join(others, "value").filter("id <> other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-        rest = written(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
-        found = first.union(_confirmed(rows, named, seeds, rest, least, percent))
+    left = written(_uncovered(couples.join(small(stars), "value").filter(F.col("id") != F.col("x")), first), "uncovered")
+    if not left.isEmpty():
+        counts = written(left.groupBy("value").agg(F.count("*").alias("left")), "counts")
+        every = written(couples.join(small(counts.select("value")), "value").select(*left.columns), "places")
+        left = _settled(every, left, counts, held_against)
+        others = long.join(small(left.select("value").distinct()), "value").select("value", F.col("id").alias("x"))
+        held_against(left.select("value", "id").distinct().join(others, "value").filter("id <> x"))
+        drop(counts, every)
+    found = reduce(DataFrame.union, found)
+    drop(seeds, couples, stars)
 
     ids = [named.select(F.col("cls").alias(s), F.col("id").alias(f"id_{s}")) for s in "ab"]
     passages = found.join(ids[0], "a").join(ids[1], "b").select(F.col("id_b").alias("id"), F.col("b0").alias("start"), F.col("b1").alias("end"), F.col("id_a").alias("other_id"), F.col("a0").alias("other_start"), F.col("a1").alias("other_end"), "similarity")
@@ -411,6 +427,61 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return passages.union(copies.select("id", F.lit(0), "n", "other_id", F.lit(0), "n", F.lit(1.0)).distinct())
 
 
+def _uncovered(places: DataFrame, found: DataFrame) -> DataFrame:
+    """(value, id, first, end): the places (value, id, first, end, x) of couples that no x of theirs has in its passages.
+
+    It has a place if one passage with it covers it, or if one covers the first seed
+    there and another the last: two seeds may lie further apart than a gap.
+    """
+    place = ["value", "id", "first", "end"]
+    sides = ("a", "b", "a0", "a1"), ("b", "a", "b0", "b1")
+    spans = reduce(DataFrame.union, (found.select(*(F.col(c).alias(n) for c, n in zip(side, ("of", "with", "start", "stop")))) for side in sides))
+    same = (F.col("id") == F.col("of")) & (F.col("x") == F.col("with"))
+    open_ = places.join(spans, same & (F.col("first") >= F.col("start")) & (F.col("end") <= F.col("stop")), "left_anti")
+    covers = lambda at: F.coalesce(F.bool_or((at >= F.col("start")) & (at + SEED <= F.col("stop"))), F.lit(False))
+    parts = open_.join(spans, same, "left").groupBy(*place, "x").agg((covers(F.col("first")) & covers(F.col("end") - SEED)).alias("has"))
+    # a place is open if it is so with all x
+    lost = parts.filter("not has").groupBy(*place).agg(F.count("*").alias("open"))
+    if "among" not in places.columns:
+        return lost.select(*place)
+    among = places.select("value", "among").distinct()
+    return lost.join(among, "value").filter("open = among").select(*place)
+
+
+def _settled(every: DataFrame, left: DataFrame, counts: DataFrame, held_against: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(value, id, first, end): the places that are still in no passage with their list's largest star or what it holds.
+
+    every: all places of the lists; left: those that the first star left; counts
+    (value, left). A list of which most is left gets another star, as its centre
+    may be an odd one. What is outside the larger star is held against up to
+    CENTRES that are in it, so whatever has a passage with any of them is of the
+    star's component, and need not be held against all.
+    """
+    place = ["value", "id", "first", "end"]
+    sums = counts.join(every.groupBy("value").agg(F.count("*").alias("n")), "value")
+    again = written(left.join(small(sums.filter(2 * F.col("left") > F.col("n")).select("value")), "value", "left_semi"), "again")
+    if not again.isEmpty():
+        second = written(again.groupBy("value").agg(_members(1).alias("x")).select("value", F.explode("x").alias("x")), "stars")
+        beside = again.join(small(second), "value").filter(F.col("id") != F.col("x"))
+        still = written(_uncovered(beside, held_against(beside)), "uncovered")
+        now = again.groupBy("value").agg(F.count("*").alias("k")).join(still.groupBy("value").agg(F.count("*").alias("s")), "value", "left")
+        larger = written(sums.join(now, "value").filter(F.col("k") - F.coalesce("s", F.lit(0)) > F.col("n") - F.col("left")).select("value"), "larger")
+        of_larger = still.join(small(larger), "value", "left_semi").union(every.join(small(larger), "value", "left_semi").join(left, place, "left_anti"))
+        left = written(left.join(small(larger), "value", "left_anti").union(of_larger), "uncovered")
+    inside = every.join(left.select("value", "id").distinct(), ["value", "id"], "left_anti").groupBy("value").agg(_members(CENTRES).alias("x"))
+    inside = written(inside.select("value", F.size("x").alias("among"), F.explode("x").alias("x")), "inside")
+    beside = left.join(small(inside), "value")
+    still = _uncovered(beside, held_against(beside))
+    alone = left.join(small(inside.select("value").distinct()), "value", "left_anti")
+    return written(still.union(alone), "uncovered")
+
+
+def _members(n: int) -> Column:
+    """Up to n of a group's ids: the least under each of so many masks, which are those of all lists."""
+    masks = [F.xxhash64(F.lit(-1 - i)) for i in range(n)]
+    return F.array_distinct(F.array(*(F.min(F.col("id").bitwiseXOR(m)).bitwiseXOR(m) for m in masks)))
+
+
 def _confirmed(rows: DataFrame, named: DataFrame, seeds: DataFrame, pairs: DataFrame, least: int, percent: int) -> DataFrame:
     """(a, b, a0, a1, b0, b1, similarity): the passages of these pairs of classes."""
     sides = [seeds.select(F.col("cls").alias(s), F.col("s.value").alias(f"h{s}"), F.col("s.place").alias(f"p{s}")) for s in "ab"]
