@@ -8,8 +8,9 @@ representative. Classes that share a seed are candidates (graph.candidates): all
 pairs of a seed of few classes, a star around one class of a frequent one. Two
 frequent seeds of LEAST_CHAIN words together, at most REACH apart, count again as one, so
 texts that share no other seed meet by the two that a chain needs. A holder of
-such a couple whose place lies in no passage with the centre of its star is then
-held against every other holder, so no cut is made where stars do not reach. All
+such a couple whose place is in no passage with the centre of its star is held
+against up to graph.CENTRES that are, and then, if it is in none with these
+either, against every other holder, so no cut is made where stars do not reach. All
 seeds that two candidates share are matched and, in order, chained by a dynamic programme
 whose best predecessor a tree of maxima finds, among those near enough: a match
 adds its new words, a gap costs by its length in both texts. Chains are aligned
@@ -18,7 +19,7 @@ sides have `least` words and `percent` of the longer side's words agree.
 
 A passage that more than graph.HOT classes hold is so reported as each one's
 pair with a representative and not as all pairs of its holders; those that have
-none with the representative are reported with all others that have it. A seed that one
+none with the representative are reported with some that have one, or with all others that have it. A seed that one
 text repeats is matched place by place with those of the other text, and each of
 its places with the first there, so all places are covered.
 
@@ -392,7 +393,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     couples = held.select("cls", F.explode(F.flatten(F.transform("m", lambda x, i: F.transform(F.filter(onward(x, i), lambda y: apart(x, y)), lambda y: couple(x, y))))).alias("c"))
     couples = written(couples.select(F.col("cls").alias("id"), "c.*"), "couples")
     drop(shared, frequent)
-    more, long = candidates(couples.select("id", "value").distinct())
+    # one order of centres for all lists, so that a text meets few; what they leave goes on below
+    more, long = candidates(couples.select("id", "value").distinct(), masks=1)
     pairs = written(short.union(more).distinct(), "pairs")
     drop(short, more)
 
@@ -409,7 +411,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return reduce(DataFrame.union, found)
 
     # places of a frequent couple that no passage with its star's centre covers there
-    stars = written(centres(long), "stars")
+    stars = written(centres(long, masks=1), "stars")
     left = written(_uncovered(couples.join(small(stars), "value").filter(F.col("id") != F.col("x")), first), "uncovered")
     if not left.isEmpty():
         counts = written(left.groupBy("value").agg(F.count("*").alias("left")), "counts")

@@ -612,3 +612,16 @@ def test_passages_of_frequent_seeds_alone(spark):
     got = passages.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     reach = smallest_reachable(len(texts), [(r.id, r.other_id) for r in got])
     assert set(reach[60:]) == {60} and reach[:60] == list(range(60))
+
+
+def test_passages_of_a_large_group_are_not_reported_in_all_pairs(spark):
+    """Near copies of one base, each with words of its own at other places, are of one component by far fewer rows than they have pairs."""
+    base, r, texts = prose(150, 84).split(), random.Random(10), []
+    for i in range(240):
+        w = list(base)
+        for at in r.sample(range(150), 8):
+            w[at] = f"new{i}x{at}"
+        texts.append(" ".join(w))
+    got = passages.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert smallest_reachable(len(texts), [(x.id, x.other_id) for x in got]) == [0] * len(texts)
+    assert len(got) < 12000  # of 28,680 pairs
