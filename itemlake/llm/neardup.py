@@ -57,7 +57,7 @@ def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, dtype=np.uint64), starts
     shift = starts[0]
     code, blank, starts = code[shift:], blank[shift:], starts - shift
-    place = np.arange(len(code)) - np.repeat(starts, np.diff([*starts, len(code)]))
+    place = np.arange(len(code)) - np.repeat(starts, np.diff(starts, append=len(code)))
     powers = np.cumprod(np.full(int(place.max()) + 1, _MULT, dtype=np.uint64))
     value = (code.astype(np.uint64) + np.uint64(1)) * powers[place]
     value[blank] = 0

@@ -4,8 +4,9 @@ Words are as in neardup. Of every WINDOW successive runs of SEED words the one
 of the smallest hash is a seed (a minimiser), so any equal run of WINDOW +
 SEED - 1 words shares one; what is found at which agreement of words is
 measured in tests/llm. Documents of equal words are one class with one
-representative. Classes that share a seed are candidates (graph.candidates): all
-pairs of a seed of few classes, a star around one class of a frequent one. Two
+representative. Of the seeds that classes share, those stay that lie in runs as long as
+a chain, without a gap; others can be in none. Classes that share one are candidates
+(graph.candidates): all pairs of a seed of few classes, a star around one class of a frequent one. Two
 frequent seeds of LEAST_CHAIN words together, at most REACH apart, count again as one, so
 texts that share no other seed meet by the two that a chain needs. A holder of
 such a couple whose place is in no passage with the centre of its star is held
@@ -35,7 +36,7 @@ import hashlib
 from bisect import bisect_left, bisect_right
 from collections import deque
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,7 @@ from pyspark.sql import functions as F
 
 from itemlake.llm.common import drop, small, small_batches, written
 from itemlake.llm.graph import CENTRES, candidates, centres
-from itemlake.llm.neardup import _MULT, _mix, word_hashes
+from itemlake.llm.neardup import _MULT, PIECE, _mix, word_hashes
 
 SEED, WINDOW = 6, 8  # words, runs
 GAP = 25  # most words between matches of a chain
@@ -62,31 +63,59 @@ def key_of(words: np.ndarray) -> bytes:
     return hashlib.blake2b(words.tobytes(), digest_size=16).digest()
 
 
-def seeds_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of a text's minimisers."""
-    n = len(words) - SEED + 1
-    if n < 1:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int32)
+def _runs(words: np.ndarray) -> np.ndarray:
+    """The hash of the SEED words from every word on."""
+    n = max(0, len(words) - SEED + 1)
     run = np.zeros(n, dtype=np.uint64)
     for i in range(SEED):
         run = run * _MULT + words[i : i + n]
-    run = (_mix(run) >> np.uint64(1)).astype(np.int64)
-    if n <= WINDOW:
+    return (_mix(run) >> np.uint64(1)).astype(np.int64)
+
+
+def _least(run: np.ndarray) -> np.ndarray:
+    """Where the first least of every WINDOW successive runs is, a power of two."""
+    at, width = np.arange(len(run)), 1
+    while width < WINDOW and len(at) > width:
+        left, right = at[:-width], at[width:]
+        at, width = np.where(run[right] < run[left], right, left), 2 * width
+    return at if width == WINDOW else at[:0]
+
+
+def _minimisers(run: np.ndarray, least: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of the minimisers of a text's runs, which are from `start` on; least: of its whole windows, from there too."""
+    if not len(run):
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int32)
+    if len(run) <= WINDOW:
         places = np.array([int(run.argmin())])
     else:
-        view = np.lib.stride_tricks.sliding_window_view(run, WINDOW)
-        places = np.unique(view.argmin(axis=1) + np.arange(len(view)))
+        places = least[np.concatenate([[True], least[1:] != least[:-1]])] - start
         new = run[places[1:]] != run[places[:-1]]
         places = places[np.concatenate([[True], new]) | np.concatenate([new, [True]])]  # of a run of equal seeds, the ends
     return run[places], places.astype(np.int32)
 
 
+def seeds_of(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The words of each text, and hashes and places of its minimisers; many short texts are hashed at once."""
+    at = 0
+    while at < len(texts):
+        raws, total = [], 0
+        while at < len(texts) and (not raws or total < PIECE):
+            raws.append((texts[at] or "").encode("utf-8", "surrogatepass").lower())
+            total += len(raws[-1]) + 1
+            at += 1
+        words, starts = word_hashes(b" ".join(raws))
+        run = _runs(words)
+        least = _least(run)
+        first = np.searchsorted(starts, np.cumsum([0, *(len(r) + 1 for r in raws)])).tolist()
+        for a, b in zip(first, first[1:]):
+            n = max(0, b - a - SEED + 1)
+            yield words[a:b], *_minimisers(run[a : a + n], least[a : a + n - WINDOW + 1] if n > WINDOW else least[:0], a)
+
+
 def _seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys, sizes, hashes, places = [], [], [], []
-        for text in batch.column(1):
-            words = words_of(text.as_py())
-            h, p = seeds_of(words)
+        for words, h, p in seeds_of(batch.column(1).to_pylist()):
             keys.append(key_of(words) if len(words) else None)
             sizes.append(len(words))
             hashes.append(h)
@@ -246,17 +275,79 @@ def _slices(lists: pa.ListArray) -> Callable[[int], np.ndarray]:
     return lambda i: flat[ends[i] : ends[i + 1]]
 
 
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a column of lists without nulls, and how many each row has."""
+    ends = lists.offsets.to_numpy()
+    return lists.values.to_numpy()[ends[0] : ends[-1]], np.diff(ends)
+
+
+def _keyed(hashes: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of all rows, their rows, keys in the order of (row, hash), and the rows in which a key comes twice."""
+    flat, sizes = _flat(hashes)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    key = row << 48 | flat >> 15
+    return flat, row, key, row[1:][key[1:] == key[:-1]]
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    """Lists of small numbers, as the steps of a chain are, which are a gap at most."""
+    flat = np.concatenate(arrays) if arrays else np.empty(0, dtype=np.int8)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(flat.astype(np.int8), pa.int8()))
+
+
+def chains_of(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, places in a, in b) of the chains of all pairs (.., .., ha, pa, hb, pb) of a batch.
+
+    Rows of which neither side repeats a seed are matched at once. Their matches
+    are cut where they are too far apart in a, and those that follow each other
+    closely at one distance are a chain as they are; others go on one by one.
+    """
+    (ha, row, ka, twice_a), (hb, _, kb, twice_b) = _keyed(batch.column(2)), _keyed(batch.column(4))
+    pa_, pb = _flat(batch.column(3))[0], _flat(batch.column(5))[0]
+    once = np.ones(batch.num_rows, dtype=bool)
+    once[twice_a] = once[twice_b] = False
+    sides = [_slices(batch.column(c)) for c in range(2, 6)]
+    slow = [(int(i), matches_of(*(side(i) for side in sides))) for i in np.flatnonzero(~once)]
+    if len(ka) and len(kb):
+        at = np.minimum(np.searchsorted(kb, ka), len(kb) - 1)
+        hit = np.flatnonzero((kb[at] == ka) & (hb[at] == ha) & once[row])
+        row, p, q = row[hit], pa_[hit], pb[at[hit]]
+        order = np.argsort(row << 32 | p)
+        row, p, q = row[order], p[order], q[order]
+    else:
+        row, p, q = row[:0], pa_[:0], pb[:0]
+    if len(row):
+        gap, shift = np.diff(p), q - p
+        start = np.concatenate([[0], np.flatnonzero((row[1:] != row[:-1]) | (gap > GAP + SEED)) + 1])
+        end = np.append(start[1:], len(row))
+        gap[start[1:] - 1] = 0  # between two parts
+        most = np.maximum.reduceat(np.append(gap, 0), start)
+        span = np.minimum(p[end - 1] - p[start], np.maximum.reduceat(q, start) - np.minimum.reduceat(q, start)) + SEED
+        along = (np.maximum.reduceat(shift, start) == np.minimum.reduceat(shift, start)) & (most <= 2 * SEED)
+        for i in np.flatnonzero(span >= LEAST_CHAIN).tolist():
+            x, y = start[i], end[i]
+            if along[i]:
+                yield int(row[x]), p[x:y], q[x:y]
+            else:
+                slow.append((int(row[x]), list(zip(p[x:y].tolist(), q[x:y].tolist()))))
+    for i, found in slow:
+        for part in _parts(found):
+            for chain in _along(part) or chains(part):
+                if len(chain) > 1 and _span(chain) >= LEAST_CHAIN:
+                    yield i, *np.array(chain, dtype=np.int32).T
+
+
+CHAIN = {"p": "int", "p1": "int", "q": "int", "q1": "int", "dp": "array<tinyint>", "dq": "array<tinyint>"}  # first and last place, steps between them
+
+
 def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out, sides = [], [_slices(batch.column(c)) for c in range(2, 6)]
-        for i, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-            n = 0
-            for part in _parts(matches_of(*(side(i) for side in sides))):
-                for chain in _along(part) or chains(part):
-                    if len(chain) > 1 and _span(chain) >= LEAST_CHAIN:
-                        out.append((a, b, n, [p for p, _ in chain], [q for _, q in chain]))
-                        n += 1
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())))], ["a", "b", "chain", "p", "q"])
+    for whole, at in ((batch, at) for batch in batches for at in range(0, batch.num_rows, 1 << 14)):  # rows that a key has room for
+        batch = whole.slice(at, 1 << 14)
+        found = list(chains_of(batch))
+        rows = pa.array([i for i, _, _ in found], pa.int32())
+        ends = [pa.array([c[side][at] for c in found], pa.int32()) for side in (1, 2) for at in (0, -1)]
+        steps = [_lists([np.diff(c[side]) for c in found]) for side in (1, 2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *ends, *steps], ["a", "b", *CHAIN])
 
 
 def _agree(a: np.ndarray, b: np.ndarray) -> int:
@@ -271,92 +362,198 @@ def _agree(a: np.ndarray, b: np.ndarray) -> int:
     return len(b) - row.bit_count()
 
 
-def _onward(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
-    """Words of a and b, and how many agree, by which two texts go on alike: equal words, then the best alignment.
+@lru_cache(64)
+def _order(n: int) -> np.ndarray:
+    return np.arange(n)
+
+
+def _onwards(sides: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Words of a and b, and how many agree, by which each two texts go on alike: equal words, then the best alignment.
 
     A word that agrees counts 1, one changed, added or left out EDIT_COST, so
     that what is added agrees in three words of four or more.
     """
-    n = min(len(a), len(b))
-    differ = np.flatnonzero(a[:n] != b[:n])
-    more = int(differ[0]) if len(differ) else n
-    equal = a[more:, None] == b[None, more:]
+    if not sides:
+        return np.zeros((0, 3), dtype=np.int64)
+    sizes = np.array([(len(a), len(b)) for a, b in sides])
+    width = int(sizes.max()) + EDIT_COST
+    place = _order(width)
+    a, b = np.zeros((2, len(sides), width), dtype=np.uint64)
+    for side, words, n in ((0, a, sizes[:, 0]), (1, b, sizes[:, 1])):
+        words[place < n[:, None]] = np.concatenate([s[side] for s in sides])
+    more = (a != b) | (place >= sizes.min(axis=1)[:, None])
+    more = more.argmax(axis=1)
+    out = np.repeat(more[:, None], 3, axis=1)
+    left = sizes - more[:, None]
     # an edit comes first, and one before each run of words that agree, so a gain has a run of more than EDIT_COST words
-    if min(equal.shape) <= EDIT_COST:
-        return more, more, more
-    runs = equal[: len(equal) - EDIT_COST, : equal.shape[1] - EDIT_COST].copy()
-    for d in range(1, EDIT_COST + 1):
-        runs &= equal[d : len(equal) - EDIT_COST + d, d : equal.shape[1] - EDIT_COST + d]
-    if not runs.any():
-        return more, more, more
-    unit = 1 << 20  # a cell is its score in units, and how many words agree
-    step = EDIT_COST * unit * np.arange(equal.shape[1] + 1)
-    row, best = -step, (0, 0, 0)
-    for i, same in enumerate(equal):
-        after = row - EDIT_COST * unit
-        after[1:] = np.maximum(after[1:], row[:-1] + np.where(same, unit + 1, -EDIT_COST * unit))
-        row = np.maximum.accumulate(after + step) - step
-        j = int(row.argmax())
-        if row[j] >= unit and row[j] > best[0]:
-            best = int(row[j]), i + 1, j
-        if row[j] + (len(equal) - 1 - i) * (unit + 1) <= max(best[0], unit - 1):  # what is left cannot reach more
-            break
-    return more + best[1], more + best[2], more + best[0] % unit
+    rows = np.flatnonzero(left.min(axis=1) > EDIT_COST)
+    for rows in np.array_split(rows, -(-len(rows) // 1024) or 1):
+        at = np.minimum(more[rows, None] + place, width - 1)
+        wa, wb = np.take_along_axis(a[rows], at, 1), np.take_along_axis(b[rows], at, 1)
+        equal = (wa[:, :, None] == wb[:, None, :]) & (place < left[rows, :1])[:, :, None] & (place < left[rows, 1:])[:, None, :]
+        runs = equal[:, :-EDIT_COST, :-EDIT_COST].copy()
+        for d in range(1, EDIT_COST + 1):
+            runs &= equal[:, d : width - EDIT_COST + d, d : width - EDIT_COST + d]
+        gains = runs.any(axis=(1, 2))
+        rows, equal = rows[gains], equal[gains]
+        if not len(rows):
+            continue
+        unit = 1 << 20  # a cell is its score in units, and how many words agree
+        step = EDIT_COST * unit * np.arange(width + 1)
+        row, best = np.repeat(-step[None], len(rows), axis=0), np.zeros((len(rows), 3), dtype=np.int64)
+        for i in range(int(left[rows, 0].max())):
+            after = row - EDIT_COST * unit
+            after[:, 1:] = np.maximum(after[:, 1:], row[:, :-1] + np.where(equal[:, i], unit + 1, -EDIT_COST * unit))
+            row = np.maximum.accumulate(after + step, axis=1) - step
+            j = row.argmax(axis=1)
+            value = row[np.arange(len(rows)), j]
+            better = (value >= unit) & (value > best[:, 0])
+            best[better] = np.stack([value, np.full(len(j), i + 1), j], axis=1)[better]
+        out[rows] += np.stack([best[:, 1], best[:, 2], best[:, 0] % unit], axis=1)
+    return out
 
 
-def aligned(a: np.ndarray, b: np.ndarray, p: list[int], q: list[int]) -> tuple[int, int, int, int, int]:
-    """(start and end in a, in b, words that agree) of a chain, extended at both ends."""
-    a0, b0, a1, b1, same = p[0], q[0], p[0] + SEED, q[0] + SEED, SEED
-    if p[-1] - a0 == q[-1] - b0 and np.array_equal(a[a0 : p[-1] + SEED], b[b0 : q[-1] + SEED]):  # equal words all along
-        a1, b1 = p[-1] + SEED, q[-1] + SEED
-        same, p, q = a1 - a0, p[:1], q[:1]
-    for x, y in zip(p[1:], q[1:]):
-        fresh = min(SEED, x + SEED - a1, y + SEED - b1)
-        if fresh <= 0:
-            continue
-        x, y = x + SEED - fresh, y + SEED - fresh
-        same += fresh + (_agree(a[a1:x], b[b1:y]) if x > a1 and y > b1 else 0)
-        a1, b1 = x + fresh, y + fresh
-    back, on = _onward(a[:a0][::-1], b[:b0][::-1]), _onward(a[a1:], b[b1:])
-    return a0 - back[0], a1 + on[0], b0 - back[1], b1 + on[1], same + back[2] + on[2]
+def _onward(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+    return tuple(_onwards([(a, b)])[0].tolist())
 
 
 MARGIN = 2 * (WINDOW + SEED)  # words beyond a chain into which its passage may go on
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of a text's windows (first, last), each with a margin, and where they start."""
+def _gaps(dp: np.ndarray, dq: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The words in a and in b between matches that neither has, where both sides have such words, by a chain's steps; the words of the matches."""
+    fresh = np.minimum(np.minimum(dp, dq), SEED)
+    na, nb = dp - fresh, dq - fresh
+    return np.where(nb > 0, na, 0), np.where(na > 0, nb, 0), SEED + int(fresh.sum())
+
+
+def _loose(words: np.ndarray, first: int, steps: np.ndarray, gaps: np.ndarray) -> list[np.ndarray]:
+    """The words before a chain, those of its gaps, and those after it: all that is not equal by its matches."""
+    ends = first + SEED + np.cumsum(steps)  # of the matches but the first
+    held = np.flatnonzero(gaps)
+    parts = [words[max(0, first - MARGIN) : first]]
+    parts += [words[x : x + n] for x, n in zip((ends[held] - steps[held]).tolist(), gaps[held].tolist())]
+    last = int(ends[-1]) if len(ends) else first + SEED
+    return [*parts, words[last : last + MARGIN]]
+
+
+def aligned_all(rows: list[tuple]) -> np.ndarray:
+    """(start and end in a, in b, words that agree) of chains (loose words of a, of b, first places, steps), extended at both ends."""
+    if not rows:
+        return np.zeros((0, 5), dtype=np.int64)
+    out = np.zeros((len(rows), 5), dtype=np.int64)
+    for i, (a, b, p, q, dp, dq) in enumerate(rows):
+        same = _gaps(dp, dq)[2] + sum(len(x) if len(x) == len(y) and (x == y).all() else _agree(x, y) for x, y in zip(a[1:-1], b[1:-1]))
+        out[i] = p, p + int(dp.sum()) + SEED, q, q + int(dq.sum()) + SEED, same
+    back = _onwards([(a[0][::-1], b[0][::-1]) for a, b, *_ in rows])
+    on = _onwards([(a[-1], b[-1]) for a, b, *_ in rows])
+    return out + np.stack([-back[:, 0], on[:, 0], -back[:, 1], on[:, 1], back[:, 2] + on[:, 2]], axis=1)
+
+
+def aligned(a: np.ndarray, b: np.ndarray, p: list[int], q: list[int]) -> tuple[int, int, int, int, int]:
+    """The same of one chain, by whole texts and places."""
+    dp, dq = np.diff(p), np.diff(q)
+    na, nb, _ = _gaps(dp, dq)
+    return tuple(aligned_all([(_loose(a, p[0], dp, na), _loose(b, q[0], dq, nb), p[0], q[0], dp, dq)])[0].tolist())
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of a text's windows (first, last), each with a margin, once each: the pieces that they cover, and where these start."""
     for batch in batches:
         rows = batch.to_pydict()
         for text, key, cls, windows in zip(rows["text"], rows["key"], rows["cls"], rows["windows"]):
             words = words_of(text)
             if key_of(words) != key:  # another text may have the same id
                 continue
-            for at in range(0, len(windows), 256):  # a bounded number to a batch
-                some = [(w["first"], w["last"], max(0, w["first"] - MARGIN)) for w in windows[at : at + 256]]
-                parts = [words[start : last + SEED + MARGIN].view(np.int64) for _, last, start in some]
-                ends = pa.array(np.cumsum([0, *map(len, parts)]), pa.int32())
-                cols = [pa.array([cls] * len(some), pa.int64()), *(pa.array([r[i] for r in some], pa.int32()) for i in range(3))]
-                yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(ends, pa.array(np.concatenate(parts), pa.int64()))], ["cls", "first", "last", "start", "words"])
+            pieces: list[list[int]] = []
+            for start, end in sorted((max(0, w["first"] - MARGIN), w["last"] + SEED + MARGIN) for w in windows):
+                if pieces and start <= pieces[-1][1]:
+                    pieces[-1][1] = max(pieces[-1][1], end)
+                else:
+                    pieces.append([start, end])
+            parts = [words[start:end].view(np.int64) for start, end in pieces]
+            ends = pa.array(np.cumsum([0, *map(len, parts)]), pa.int32())
+            cols = [pa.array([cls] * len(parts), pa.int64()), pa.array([start for start, _ in pieces], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(ends, pa.array(np.concatenate(parts), pa.int64()))], ["cls", "start", "words"])
+
+
+# chains by their class on either side, and pieces of texts (which have no other, and their start as p), by which they are met
+SIDES = {"cls": "long", "other": "long", **CHAIN, "words": "array<long>"}
+
+
+def _with_loose(batches: Iterator[pa.RecordBatch], of_a: bool) -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
+    """Batches in the order of cls, pieces first; of each chain (row, loose words on this side, gaps in a, first places, steps)."""
+    held, starts, pieces = None, [], []
+    for batch in batches:
+        found = []
+        words, dp, dq = (_slices(batch.column(c)) for c in ("words", "dp", "dq"))
+        of_chains = batch.column("other").is_valid().to_pylist()
+        for i, (cls, p, q, chain) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("cls", "p", "q")), of_chains)):
+            if chain:
+                x, y = dp(i).astype(np.int64), dq(i).astype(np.int64)
+                na, nb, _ = _gaps(x, y)
+                first, steps, gaps = (p, x, na) if of_a else (q, y, nb)
+                n = bisect_right(starts, first) - 1
+                found.append((i, _loose(pieces[n], first - starts[n], steps, gaps), na, p, q, x, y))
+            else:
+                if held != cls:
+                    held, starts, pieces = cls, [], []
+                starts.append(p)
+                pieces.append(words(i).view(np.uint64).copy())  # not with its batch
+        yield batch, found
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each chain with its loose words in a, for the other side."""
+    for whole, found in _with_loose(batches, True):
+        for at in range(0, len(found), 256):  # a bounded number to a batch
+            some = found[at : at + 256]
+            batch = whole.take(pa.array([row[0] for row in some], pa.int32()))
+            words = [np.concatenate(row[1]) for row in some]
+            ends = pa.array(np.cumsum([0, *map(len, words)]), pa.int32())
+            cols = [batch.column(c) for c in ("other", "cls", *CHAIN)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(ends, pa.array(np.concatenate(words).view(np.int64), pa.int64()))], list(SIDES))
 
 
 def _aligned(least: int, percent: int):
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out, keep = [], []
-            wa, wb, p, q = (_slices(batch.column(c)) for c in ("wa", "wb", "p", "q"))
-            for i, (sa, sb) in enumerate(zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist())):
-                a0, a1, b0, b1, same = aligned(wa(i), wb(i), (p(i) - sa).tolist(), (q(i) - sb).tolist())
-                if min(a1 - a0, b1 - b0) >= least and 100 * same >= percent * max(a1 - a0, b1 - b0):
-                    keep.append(i)
-                    out.append((a0 + sa, a1 + sa, b0 + sb, b1 + sb, same / max(a1 - a0, b1 - b0)))
-            cols = [batch.column(c).take(pa.array(keep, pa.int32())) for c in ("a", "b")]
-            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
-            yield pa.RecordBatch.from_arrays([*cols, *(pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds))], ["a", "b", "a0", "a1", "b0", "b1", "similarity"])
+        for batch, found in _with_loose(batches, False):
+            words, rows = _slices(batch.column("words")), []
+            for i, of_b, na, p, q, dp, dq in found:
+                ends = np.cumsum([min(p, MARGIN), *na[na > 0].tolist()])
+                rows.append((np.split(words(i).view(np.uint64), ends), of_b, p, q, dp, dq))
+            a0, a1, b0, b1, same = aligned_all(rows).T
+            longer = np.maximum(a1 - a0, b1 - b0)
+            keep = (np.minimum(a1 - a0, b1 - b0) >= least) & (100 * same >= percent * longer)
+            of = pa.array(np.array([row[0] for row in found], dtype=np.int32)[keep])
+            cols = [*(batch.column(c).take(of) for c in ("other", "cls")), *(pa.array(x[keep].astype(np.int32)) for x in (a0, a1, b0, b1))]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(same[keep] / longer[keep], pa.float64())], ["a", "b", "a0", "a1", "b0", "b1", "similarity"])
 
     return align
 
 
+def _in_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The seeds of each text that others share, by place, in the runs that can hold a chain.
+
+    A match of a chain follows another within a gap, in both texts, so it lies in a
+    run of such seeds that is as long as a chain.
+    """
+    for batch in batches:
+        (place, sizes), value = _flat(batch.column("place")), _flat(batch.column("value"))[0]
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        new = np.concatenate([[True], (row[1:] != row[:-1]) | (np.diff(place) > GAP + SEED)]) if len(row) else np.empty(0, dtype=bool)
+        start = np.flatnonzero(new)
+        end = np.append(start[1:], len(row))[: len(start)]
+        keep = np.repeat(place[end - 1] - place[start] + SEED >= LEAST_CHAIN, end - start)
+        row, place, value = row[keep], place[keep], value[keep]
+        order = np.lexsort((place, value, row))
+        held = np.bincount(row, minlength=len(sizes))
+        ends = pa.array(np.concatenate([[0], np.cumsum(held)]), pa.int32())
+        cols = [pa.ListArray.from_arrays(ends, pa.array(x[order], kind)) for x, kind in ((value, pa.int64()), (place, pa.int32()))]
+        out = pa.RecordBatch.from_arrays([batch.column("cls"), *cols], ["cls", "value", "place"])
+        yield out.filter(pa.array(held > 0))
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50, percent: int = 75) -> DataFrame:
     """(id, start, end, other_id, other_start, other_end, similarity): passages by words, end exclusive, between representatives, and copies with theirs."""
     small_batches(docs.sparkSession)
@@ -371,28 +568,29 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     drop(seeded)
 
     # a seed that one class has alone matches nothing; what others share goes on, with its places
-    each = F.array_distinct("hashes")
-    common = classes.select(F.explode(each).alias("value")).groupBy("value").agg(F.count("*").alias("n")).filter("n > 1")
+    common = classes.select(F.explode(F.array_distinct("hashes")).alias("value")).groupBy("value").agg(F.count("*").alias("n")).filter("n > 1")
     common = written(common.select("value"), "common")
     placed = classes.select("cls", F.posexplode("hashes").alias("at", "value"), "places").select("cls", "value", F.col("places")[F.col("at")].alias("place"))
-    shared = written(placed.join(small(common), "value", "left_semi"), "shared")
+    shared = placed.join(small(common), "value", "left_semi").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("place", "value"))).alias("s"))
+    shared = shared.select("cls", F.col("s.place").alias("place"), F.col("s.value").alias("value"))
+    seeds = written(shared.mapInArrow(_in_runs, "cls long, value array<long>, place array<int>"), "sorted")  # of one text
     drop(classes, common)
-    short, long = candidates(shared.select(F.col("cls").alias("id"), "value").distinct())
+    short, long = candidates(seeds.select(F.col("cls").alias("id"), F.explode(F.array_distinct("value")).alias("value")))
     frequent = written(long.select("value").distinct(), "frequent")
-    seeds = written(shared.groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("value", "place"))).alias("s")), "sorted")  # of one text
 
     # chains of frequent seeds alone: two of them, so far apart that a chain has both
     # (all seeds of a chain that no short list has are frequent, and none is further from the next than a gap, in either text)
     in_text = Window.partitionBy("cls").orderBy("place")
     far = F.coalesce((F.col("place") - F.lag("place").over(in_text) > GAP + SEED).cast("int"), F.lit(0))
-    held = shared.join(small(frequent), "value").withColumn("far", far).withColumn("part", F.sum("far").over(in_text))
+    each = seeds.select("cls", F.explode(F.arrays_zip("value", "place")).alias("s")).select("cls", "s.value", "s.place")
+    held = each.join(small(frequent), "value").withColumn("far", far).withColumn("part", F.sum("far").over(in_text))
     held = held.groupBy("cls", "part").agg(F.sort_array(F.collect_list(F.struct("place", "value"))).alias("m"))
     apart = lambda x, y: (y["place"] - x["place"] >= LEAST_CHAIN - SEED) & (y["place"] - x["place"] <= REACH)
     couple = lambda x, y: F.struct(F.xxhash64(x["value"], y["value"]).alias("value"), x["place"].alias("first"), (y["place"] + SEED).alias("end"))
     onward = lambda x, i: F.slice("m", i + 2, F.lit(REACH))  # noqa: E731  places are distinct, so what REACH words hold is among so many
     couples = held.select("cls", F.explode(F.flatten(F.transform("m", lambda x, i: F.transform(F.filter(onward(x, i), lambda y: apart(x, y)), lambda y: couple(x, y))))).alias("c"))
     couples = written(couples.select(F.col("cls").alias("id"), "c.*"), "couples")
-    drop(shared, frequent)
+    drop(frequent)
     # one order of centres for all lists, so that a text meets few; what they leave goes on below
     more, long = candidates(couples.select("id", "value").distinct(), masks=1)
     pairs = written(short.union(more).distinct(), "pairs")
@@ -470,7 +668,8 @@ def _settled(every: DataFrame, left: DataFrame, counts: DataFrame, held_against:
         larger = written(sums.join(now, "value").filter(F.col("k") - F.coalesce("s", F.lit(0)) > F.col("n") - F.col("left")).select("value"), "larger")
         of_larger = still.join(small(larger), "value", "left_semi").union(every.join(small(larger), "value", "left_semi").join(left, place, "left_anti"))
         left = written(left.join(small(larger), "value", "left_anti").union(of_larger), "uncovered")
-    inside = every.join(left.select("value", "id").distinct(), ["value", "id"], "left_anti").groupBy("value").agg(_members(CENTRES).alias("x"))
+    held = every.select("value", "id", F.lit(False).alias("out")).union(left.select("value", "id", F.lit(True)))
+    inside = held.groupBy("value", "id").agg(F.bool_or("out").alias("out")).filter("not out").groupBy("value").agg(_members(CENTRES).alias("x"))
     inside = written(inside.select("value", F.size("x").alias("among"), F.explode("x").alias("x")), "inside")
     beside = left.join(small(inside), "value")
     still = _uncovered(beside, held_against(beside))
@@ -486,22 +685,30 @@ def _members(n: int) -> Column:
 
 def _confirmed(rows: DataFrame, named: DataFrame, seeds: DataFrame, pairs: DataFrame, least: int, percent: int) -> DataFrame:
     """(a, b, a0, a1, b0, b1, similarity): the passages of these pairs of classes."""
-    sides = [seeds.select(F.col("cls").alias(s), F.col("s.value").alias(f"h{s}"), F.col("s.place").alias(f"p{s}")) for s in "ab"]
+    sides = [seeds.select(F.col("cls").alias(s), F.col("value").alias(f"h{s}"), F.col("place").alias(f"p{s}")) for s in "ab"]
     matched = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "ha", "pa", "hb", "pb")
-    chained = written(matched.mapInArrow(_chained, "a long, b long, chain int, p array<int>, q array<int>"), "chains")
+    def schema(columns: dict[str, str]) -> str:
+        return ", ".join(f"{c} {kind}" for c, kind in columns.items())
 
-    def ends(key: str, places: str) -> DataFrame:
-        return chained.select(F.col(key).alias("cls"), F.element_at(places, 1).alias("first"), F.element_at(places, -1).alias("last"))
+    chained = written(matched.mapInArrow(_chained, schema({"a": "long", "b": "long", **CHAIN})), "chains")
 
-    # a text is read once, whatever chains it has; a window that many chains share is cut once
-    windows = ends("a", "p").union(ends("b", "q")).distinct().groupBy("cls").agg(F.collect_list(F.struct("first", "last")).alias("windows"))
+    # a text is read once, whatever chains it has
+    windows = chained.select(F.col("a").alias("cls"), F.col("p").alias("first"), F.col("p1").alias("last")).union(chained.select("b", "q", "q1")).distinct().groupBy("cls").agg(F.collect_list(F.struct("first", "last")).alias("windows"))
     wanted = written(windows.join(named, "cls").select("cls", "key", F.col("id").alias("source"), "windows"), "windows")
     texts = rows.join(small(wanted.select("source").distinct()), F.col("id").eqNullSafe(F.col("source")), "left_semi")
-    beside = wanted.join(texts, F.col("source").eqNullSafe(F.col("id"))).select("cls", "key", "windows", "text")
-    cut = written(beside.mapInArrow(_cut, "cls long, first int, last int, start int, words array<long>").dropDuplicates(["cls", "first", "last"]), "cuts")
-    halves = [cut.select(F.col("cls").alias(s), F.col("first").alias(f"f{s}"), F.col("last").alias(f"l{s}"), F.col("start").alias(f"s{s}"), F.col("words").alias(f"w{s}")) for s in "ab"]
-    both = chained.withColumns({"fa": F.element_at("p", 1), "la": F.element_at("p", -1), "fb": F.element_at("q", 1), "lb": F.element_at("q", -1)})
-    both = both.join(halves[0], ["a", "fa", "la"]).join(halves[1], ["b", "fb", "lb"]).select("a", "b", "sa", "wa", "sb", "wb", "p", "q")
-    found = written(both.mapInArrow(_aligned(least, percent), "a long, b long, a0 int, a1 int, b0 int, b1 int, similarity double").distinct(), "passages")
-    drop(chained, wanted, cut)
+    beside = texts.join(small(wanted), F.col("source").eqNullSafe(F.col("id"))).select("cls", "key", "windows", "text")
+    pieces = written(beside.mapInArrow(_pieces, "cls long, start int, words array<long>"), "pieces")
+
+    def met(chains: DataFrame) -> DataFrame:
+        """Chains by cls, after the pieces of its text."""
+        more = {c: (F.array() if kind.startswith("array") else F.lit(None)).cast(kind) for c, kind in SIDES.items() if c not in ("cls", "p", "words")}
+        both = pieces.withColumnRenamed("start", "p").withColumns(more).select(*SIDES).union(chains.select(*SIDES))
+        return both.repartition("cls").sortWithinPartitions("cls", F.col("other").isNotNull(), "p")
+
+    # first with a, whose words then go to b
+    of_a = chained.withColumnsRenamed({"a": "cls", "b": "other"}).withColumn("words", F.array().cast("array<long>"))
+    cut = met(of_a).mapInArrow(_cut, schema(SIDES))
+    found = met(cut).mapInArrow(_aligned(least, percent), "a long, b long, a0 int, a1 int, b0 int, b1 int, similarity double")
+    found = written(found.distinct(), "passages")
+    drop(chained, wanted, pieces)
     return found

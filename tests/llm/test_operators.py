@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from itemlake.llm import bpe, common, decontaminate, graph, linededup, lm, neardup, passages, pii, tokencount, topk, toxicity
@@ -580,6 +581,52 @@ def test_onward_skips_only_what_cannot_gain(monkeypatch):
     assert calls.count("arange") < 20
 
 
+def test_chains_of_a_batch_are_those_of_its_pairs():
+    """Pairs matched at once, with edits, repeated seeds, and matches too far apart, against one after another."""
+    r, rows = random.Random(6), []
+    for case in range(60):
+        a = prose(120, 9000 + case).split()
+        b = [w if r.random() < 0.97 else "new" for w in a if r.random() < 0.99]
+        if case % 3 == 1:
+            b = b[:50] + prose(60, 9100 + case).split() + b[50:] + b[20:60]
+        if case % 3 == 2:
+            a, b = a + ["again"] * 40, prose(20, 9200 + case).split() + b + ["again"] * 30
+        sides = []
+        for _, h, p in passages.seeds_of([" ".join(a), " ".join(b)]):
+            order = np.lexsort((p, h))
+            sides += [h[order], p[order]]
+        rows.append(sides)
+    kinds = [pa.int64(), pa.int32()] * 2
+    ids = pa.array(range(len(rows)), pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, ids, *(pa.array([row[c] for row in rows], pa.list_(kind)) for c, kind in enumerate(kinds))], ["a", "b", "ha", "pa", "hb", "pb"])
+    want = {(i, tuple(c)) for i, row in enumerate(rows) for part in passages._parts(passages.matches_of(*row)) for c in passages.chains(part) if len(c) > 1 and passages._span(c) >= passages.LEAST_CHAIN}
+    for some in (batch, batch.slice(7, 30)):
+        shift = some.column(0)[0].as_py()
+        got = [(i + shift, tuple(zip(p.tolist(), q.tolist()))) for i, p, q in passages.chains_of(some)]
+        assert len(got) == len(set(got)) and set(got) == {w for w in want if shift <= w[0] < shift + some.num_rows}
+    # many short texts at once have the seeds of each alone
+    texts = [*ODD, prose(300, 9300), prose(8, 9301)]
+    for text, (words, h, p) in zip(texts, passages.seeds_of(texts)):
+        alone = next(passages.seeds_of([text]))
+        assert all(np.array_equal(x, y) for x, y in zip(alone, (words, h, p))) and np.array_equal(words, passages.words_of(text))
+
+
+def test_seeds_that_no_chain_can_hold_form_no_pairs(spark, monkeypatch):
+    """Texts that share a phrase shorter than any chain are not held against each other; the two that share more are."""
+    phrase, tables = prose(16, 85), {}
+
+    def written(df, name):
+        tables.setdefault(name, []).append(common.written(df, name).count())
+        return common.written(df, name)
+
+    monkeypatch.setattr(passages, "written", written)
+    shared = prose(70, 86)
+    texts = [f"{prose(40, 9400 + i)} {phrase} {prose(40, 9500 + i)}" for i in range(12)] + [f"{prose(20 + i, 9600 + i)} {shared}" for i in range(2)]
+    got = passages.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [tuple(sorted((r.id, r.other_id))) for r in got] == [(12, 13)]
+    assert tables["pairs"] == [1]  # 67 with those of the phrase
+
+
 def test_repeated_passages_apart(spark):
     one, two = prose(60, 40), prose(60, 41)
     texts = [f"{one} {prose(40, 42)} {two}", f"{one} {prose(40, 43)} {two}"]
