@@ -146,7 +146,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return held.select("id", "label", F.explode("hashes").alias("value"))
 
     with scratch() as keep:
-        labels = keep(written(linked(posted, percent, verify, elements), "labels"))
+        labels = keep(written(linked([posted], percent, verify, elements), "labels"))
     named = labels.join(classes.select(F.col("cls").alias("node"), "id"), "node")
     lowest = named.groupBy("label").agg(F.min("id").alias("component"))
     linked_to = named.join(lowest, "label").select(F.col("node").alias("cls"), "component")

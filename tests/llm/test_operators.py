@@ -1,9 +1,12 @@
 """The corpus operators against brute force on small tables, edge cases included."""
 
+import gc
+import glob
 import hashlib
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -672,3 +675,80 @@ def test_passages_of_a_large_group_are_not_reported_in_all_pairs(spark):
     got = passages.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert smallest_reachable(len(texts), [(x.id, x.other_id) for x in got]) == [0] * len(texts)
     assert len(got) < 12000  # of 28,680 pairs
+
+
+def shuffled(spark):
+    """Bytes of the shuffle files that lie on disk."""
+    files = glob.glob(f"{spark.conf.get('spark.local.dir')}/**/shuffle_*.data", recursive=True)
+    return sum(os.path.getsize(f) for f in files if os.path.exists(f))
+
+
+def most_shuffled(spark, monkeypatch, run):
+    """What run() gives, and the most bytes of shuffle files that lay on disk when a table had been made."""
+    gc.collect()
+    spark._jvm.System.gc()
+    time.sleep(2)
+    sweep, before, seen = common._sweep, shuffled(spark), [0]
+
+    def swept(*args):
+        seen.append(shuffled(spark) - before)
+        sweep(*args)
+        time.sleep(0.3)
+
+    monkeypatch.setattr(common, "_sweep", swept)
+    return run(), max(seen)
+
+
+def test_line_dedup_shuffles_no_whole_documents(spark, monkeypatch):
+    """Of long texts with a few repeated lines, these lines alone are shuffled, though no table is small enough for a broadcast."""
+    monkeypatch.setattr(common, "SMALL", -1, raising=False)
+    monkeypatch.setattr(linededup, "small", lambda df: df, raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = [prose(30, 30_000 + i) for i in range(40)]
+        r = np.random.default_rng(9)
+        texts = ["\n".join([r.bytes(10_000).hex(), lines[i % 40] + ("." if i % 3 else "")]) for i in range(80)]
+        docs = common.written(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "docs")
+        got, most = most_shuffled(spark, monkeypatch, lambda: {r.doc_id: r.text for r in linededup.dedup_lines(docs).collect()})
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {i: t if i < 40 else t.split("\n")[0] for i, t in enumerate(texts)}
+    assert most < 500_000
+
+
+def test_elements_are_shuffled_in_parts(spark, monkeypatch):
+    """The prefixes of sets of many elements, most of which no other set has: less is on disk at once than the elements take."""
+    monkeypatch.setattr(graph, "PART", 100_000, raising=False)
+    sets = {i: {1000 * i + j for j in range(1000)} | {-1 - j - 100 * (i % 50) for j in range(100)} for i in range(400)}
+    rows = spark.range(400).select("id", F.col("id").alias("label"), F.explode(F.sequence(1000 * F.col("id"), 1000 * F.col("id") + 999)).alias("value"))
+    rows = rows.union(spark.range(400).select("id", "id", F.explode(F.sequence(-100 - 100 * (F.col("id") % 50), -1 - 100 * (F.col("id") % 50)))))
+    posted, most = most_shuffled(spark, monkeypatch, lambda: graph.prefixes(rows.select("id", "label", F.xxhash64("value").alias("value")), 20))
+    # of 1,100 elements 881 are in the prefix, 1,000 of which no other set has; then of 100 shared ones none are
+    assert posted.count() == 0 and most < 3_500_000
+    posted = graph.prefixes(rows.filter("value < 0 or value % 1000 < 50"), 75)
+    got = {}
+    for r in posted.collect():
+        got.setdefault(r.id, set()).add(r.value)
+        assert r.size == 150 and r.label == r.id
+    # 50 elements are alone and come first, so none of the 38 of the prefix is shared
+    assert got == {}
+    posted = graph.prefixes(rows.filter("value < 0 or value % 1000 < 20"), 75)
+    for r in posted.collect():
+        got.setdefault(r.id, set()).add((r.value, r.left))
+    assert set(got) == set(sets)
+    for i, mine in got.items():
+        assert mine == {(v, 100 - n) for n, v in enumerate(sorted(v for v in sets[i] if v < 0)[:11])}
+
+
+def test_rows_that_are_sought_by_bits_are_those_of_a_plain_join(spark, monkeypatch):
+    rows = spark.range(20_000).select((F.col("id") % 5000).alias("k"), F.col("id").alias("words"))
+    needed = spark.range(0, 9000, 3).select(F.col("id").alias("k"), (F.col("id") * 2).alias("at"))
+    plain = {how: sorted(map(tuple, rows.join(needed, "k", how).select("k", "words", *["at"] * (how != "left_semi")).collect()), key=str) for how in ("inner", "left", "left_semi")}
+    monkeypatch.setattr(common, "SMALL", -1)
+    for how, want in plain.items():
+        got = common.sought(rows, needed, ["k"], how)
+        assert sorted(map(tuple, got.select("k", "words", *["at"] * (how != "left_semi")).collect()), key=str) == want
+    kept = common.among(rows, F.col("k"), needed.select("k"))
+    found = {r.words for r in kept.collect()}
+    assert {x[1] for x in plain["left_semi"]} <= found and len(found) < len(plain["left_semi"]) + 2000
+    assert common.sought(rows, needed.limit(0), ["k"]).count() == 0 and common.among(rows, F.col("k"), needed.select("k").limit(0)).count() == 0
