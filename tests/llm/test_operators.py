@@ -752,3 +752,21 @@ def test_rows_that_are_sought_by_bits_are_those_of_a_plain_join(spark, monkeypat
     found = {r.words for r in kept.collect()}
     assert {x[1] for x in plain["left_semi"]} <= found and len(found) < len(plain["left_semi"]) + 2000
     assert common.sought(rows, needed.limit(0), ["k"]).count() == 0 and common.among(rows, F.col("k"), needed.select("k").limit(0)).count() == 0
+
+
+def test_top_k_of_several_groups_broadcasts_nothing(spark, monkeypatch):
+    """Groups of a few blocks each give the best of all vectors; no table goes through the driver, however small its files are."""
+    for name, n in (("GROUP", 128), ("ROWS", 48), ("QUERIES", 16)):
+        monkeypatch.setattr(topk, name, n, raising=False)
+    r = np.random.default_rng(4)
+    q = r.integers(-3, 4, size=(700, 8))
+    q[500:600] = q[500]
+    df = common.written(spark.createDataFrame([(i, [x / 64 for x in v]) for i, v in enumerate(q.tolist())], "vec_id long, embedding array<double>"), "vectors")
+    want = set()
+    for i in range(0, 700, 2):
+        best = sorted((-int(q[i] @ q[j]), j) for j in range(700) if j != i)[:20]
+        want |= {(i, n + 1, j, -s) for n, (s, j) in enumerate(best)}
+    found = topk.top_k(df, F.col("id") % 2 == 0)
+    assert {tuple(x) for x in found.collect()} == want
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert topk.grid(700, 350) == (max(6, -(-24 // 3)), 3) and topk.grid(0, 0) == (1, 1)
